@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from bridge import basic, timed  # noqa: F401
+from bridge import basic, evaluated, jobs, timed  # noqa: F401
 from bridge.registry import QUERIES
 
 __all__ = ["QUERIES"]

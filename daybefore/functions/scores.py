@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,17 @@ EPS = 1e-9
 MAX_GOALS = 10
 
 
-def _bounded(lh: Column, la: Column, l3: Column) -> Column:
-    upper = F.greatest(F.least(lh, la) - EPS, F.lit(0.0))
-    return F.least(F.greatest(l3, F.lit(0.0)), upper)
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    Written as a one-element transform: a plain column used inside a lambda would be inlined
+    there by the optimizer and computed again for every element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
 def _terms(rate: Column, n: int) -> Column:
@@ -22,93 +32,98 @@ def _terms(rate: Column, n: int) -> Column:
 
 def poisson_pmf(rate: Column, max_goals: int = MAX_GOALS) -> Column:
     """Poisson mass on 0..max_goals, renormalised over that range."""
-    t = _terms(F.greatest(rate.cast("double"), F.lit(EPS)), max_goals)
-    total = F.aggregate(t, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(t, lambda v: v / total)
+    terms = _terms(F.greatest(rate.cast("double"), F.lit(EPS)), max_goals)
+    return let(terms, lambda t: let(_total(t), lambda z: F.transform(t, lambda v: v / z)))
+
+
+_DIST = ("grid array<double>, p_home_win double, p_away_win double, p_tie double, expected_home double, "
+         "expected_away double, top int")
+
+
+def _distribution(max_goals: int):
+    """Vectorised over an Arrow batch: one numpy row per input row.
+
+    Rows of the grid follow from each other: ``i P(i,j) = r1 P(i-1,j) + r3 P(i-1,j-1)``.
+    """
+    n = max_goals + 1
+
+    def run(lh: pd.Series, la: pd.Series, l3: pd.Series) -> pd.DataFrame:
+        h, a, s = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (lh, la, l3))
+        missing = np.isnan(h) | np.isnan(a) | np.isnan(s)
+        h, a = np.maximum(h, EPS), np.maximum(a, EPS)
+        s = np.minimum(np.maximum(s, 0.0), np.maximum(np.minimum(h, a) - EPS, 0.0))
+        s = np.where(s <= EPS, 0.0, s)
+        r1, r2 = np.maximum(h - s, EPS), np.maximum(a - s, EPS)
+        g = np.zeros((len(h), n, n))
+        g[:, 0, 0] = np.exp(-(r1 + r2 + s))
+        for j in range(1, n):
+            g[:, 0, j] = g[:, 0, j - 1] * r2 / j
+        for i in range(1, n):
+            g[:, i, :] = r1[:, None] * g[:, i - 1, :]
+            g[:, i, 1:] += s[:, None] * g[:, i - 1, :-1]
+            g[:, i, :] /= i
+        total = g.sum(axis=(1, 2))
+        empty = ~(total > 0) & ~missing
+        g[empty] = 0.0
+        g[empty, 0, 0] = 1.0
+        g /= np.where(total > 0, total, 1.0)[:, None, None]
+        flat = g.reshape(len(h), n * n)
+        i, j = (x.ravel() for x in np.indices((n, n)))
+        read = flat @ np.stack([i > j, i < j, i == j, i, j], axis=1).astype("float64")
+        out = pd.DataFrame(read, columns=["p_home_win", "p_away_win", "p_tie", "expected_home", "expected_away"])
+        out.insert(0, "grid", list(flat))
+        out["top"] = pd.Series(flat.argmax(axis=1) if len(h) else [], dtype="Int32")
+        if missing.any():
+            out.loc[missing, out.columns[1:]] = None
+            out.loc[missing, "grid"] = None
+        return out
+    return F.pandas_udf(run, _DIST)
 
 
 def score_distribution(df: DataFrame, lh: str, la: str, l3: str, max_goals: int = MAX_GOALS) -> DataFrame:
     """Add the joint grid and everything read off it.
 
-    ``grid`` is flat and home-major: cell ``i * (max_goals + 1) + j`` is P(home=i, away=j).
-    Plain column expressions, so no shuffle and no Python on the executors.
+    ``grid`` is flat and home-major: cell ``i * (max_goals + 1) + j`` is P(home=i, away=j).  No
+    shuffle.  The grid is an Arrow-batched numpy function: nested higher-order functions took
+    0.6 ms a row here, and the same arithmetic as plain columns is copied once per use
+    whenever a filter on a result is pushed down through it.
     """
     n = max_goals + 1
-    home = F.greatest(F.col(lh).cast("double"), F.lit(EPS))
-    away = F.greatest(F.col(la).cast("double"), F.lit(EPS))
-    shared = _bounded(home, away, F.col(l3).cast("double"))
-    shared = F.when(shared <= EPS, F.lit(0.0)).otherwise(shared)
-    base = df.withColumns({"_h": home, "_a": away, "_s": shared}).withColumns({
-        "_r1": F.greatest(F.col("_h") - F.col("_s"), F.lit(EPS)),
-        "_r2": F.greatest(F.col("_a") - F.col("_s"), F.lit(EPS)),
-    }).withColumns({
-        "_t1": _terms(F.col("_r1"), max_goals),
-        "_t2": _terms(F.col("_r2"), max_goals),
-        "_t3": _terms(F.col("_s"), max_goals),
-        "_e": F.exp(-(F.col("_r1") + F.col("_r2") + F.col("_s"))),
-    })
-
-    def cell(m: Column) -> Column:
-        i, j = (m / n).cast("int"), (m % n).cast("int")
-        ks = F.sequence(F.lit(0), F.least(i, j))
-        return F.col("_e") * F.aggregate(
-            ks, F.lit(0.0), lambda s, k: s + F.get(F.col("_t1"), i - k) * F.get(F.col("_t2"), j - k)
-            * F.get(F.col("_t3"), k))
-
-    cells = F.sequence(F.lit(0), F.lit(n * n - 1))
-    raw = base.withColumn("_raw", F.transform(cells, cell))
-    raw = raw.withColumn("_sum", F.aggregate("_raw", F.lit(0.0), lambda s, v: s + v))
-    unit = F.transform(cells, lambda m: F.when(m == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    out = raw.withColumn("grid", F.when(F.col("_sum") > 0, F.transform("_raw", lambda v: v / F.col("_sum")))
-                         .otherwise(unit))
-
-    def total(weight) -> Column:
-        return F.aggregate(cells, F.lit(0.0), lambda s, m: s + F.get(F.col("grid"), m)
-                           * weight((m / n).cast("int"), (m % n).cast("int")))
-
-    out = out.withColumns({
-        "p_home_win": total(lambda i, j: (i > j).cast("double")),
-        "p_away_win": total(lambda i, j: (i < j).cast("double")),
-        "p_tie": total(lambda i, j: (i == j).cast("double")),
-        "expected_home": total(lambda i, j: i.cast("double")),
-        "expected_away": total(lambda i, j: j.cast("double")),
-        "_top": F.array_position(F.col("grid"), F.array_max("grid")) - 1,
-    })
-    raw_rates = F.col(lh).cast("double") + F.col(la).cast("double")
-    home_share = F.when(raw_rates <= 0, F.lit(0.5)).otherwise(
-        F.col(lh).cast("double") / F.when(raw_rates > 0, raw_rates))
-    out = out.withColumns({
-        "p_final_home": F.greatest(F.least(F.col("p_home_win") + F.col("p_tie") * home_share, F.lit(1.0)), F.lit(0.0)),
-        "most_likely_home": (F.col("_top") / n).cast("int"),
-        "most_likely_away": (F.col("_top") % n).cast("int"),
-    })
-    return out.drop("_h", "_a", "_s", "_r1", "_r2", "_t1", "_t2", "_t3", "_e", "_raw", "_sum", "_top")
+    rate_h, rate_a = F.col(lh).cast("double"), F.col(la).cast("double")
+    out = df.withColumn("_d", _distribution(max_goals)(rate_h, rate_a, F.col(l3).cast("double")))
+    both = rate_h + rate_a
+    home_share = F.when(both <= 0, F.lit(0.5)).otherwise(rate_h / F.when(both > 0, both))
+    final = F.col("_d.p_home_win") + F.col("_d.p_tie") * home_share
+    names = ["grid", "p_home_win", "p_away_win", "p_tie", "expected_home", "expected_away"]
+    return out.select(
+        *df.columns, *[F.col(f"_d.{c}").alias(c) for c in names],
+        F.greatest(F.least(final, F.lit(1.0)), F.lit(0.0)).alias("p_final_home"),
+        (F.col("_d.top") / n).cast("int").alias("most_likely_home"),
+        (F.col("_d.top") % n).cast("int").alias("most_likely_away"))
 
 
 def score_quality(df: DataFrame, home_score: str, away_score: str, max_goals: int = MAX_GOALS) -> DataFrame:
     """Add ``rps`` (ranked probability score of the goal difference) and ``exact_hit``."""
     n = max_goals + 1
-    grid = F.col("grid")
-    diffs = F.sequence(F.lit(-max_goals), F.lit(max_goals))
-
-    def mass(d: Column) -> Column:
-        rows = F.sequence(F.greatest(d, F.lit(0)), F.least(d + max_goals, F.lit(max_goals)))
-        return F.aggregate(rows, F.lit(0.0), lambda s, i: s + F.get(grid, i * n + (i - d)))
-
     hs, as_ = F.col(home_score).cast("int"), F.col(away_score).cast("int")
     actual = F.greatest(F.least(hs - as_, F.lit(max_goals)), F.lit(-max_goals))
-    out = df.withColumn("_dm", F.transform(diffs, mass))
-    out = out.withColumn("_dt", F.greatest(F.aggregate("_dm", F.lit(0.0), lambda s, v: s + v), F.lit(1e-12)))
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("q"))
-
-    def step(acc: Column, k: Column) -> Column:
-        c = acc["c"] + F.get(F.col("_dm"), k) / F.col("_dt")
-        gap = c - ((k - max_goals) >= actual).cast("double")
-        return F.struct(c.alias("c"), (acc["q"] + gap * gap).alias("q"))
-
-    q = F.aggregate(F.sequence(F.lit(0), F.lit(2 * max_goals)), start, step)["q"]
+    diffs = list(range(-max_goals, max_goals + 1))
+    running, out = None, df.withColumn("_actual", actual)
+    cols: dict[int, str] = {}
+    for d in diffs:  # running mass up to each difference
+        mass = sum((F.get("grid", i * n + i - d) for i in range(max(d, 0), min(d + max_goals, max_goals) + 1)), F.lit(0.0))
+        cols[d] = f"_m{d + max_goals}"
+        out = out.withColumn(cols[d], mass if running is None else F.col(running) + mass)
+        running = cols[d]
+    z = F.greatest(F.col(running), F.lit(1e-12))
+
+    def gap(d: int) -> Column:
+        g = F.col(cols[d]) / z - (F.col("_actual") <= d).cast("double")
+        return g * g
+
+    rps = sum((gap(d) for d in diffs), F.lit(0.0)) / (2.0 * max_goals)
     hit = (F.col("most_likely_home") == hs) & (F.col("most_likely_away") == as_)
-    return out.withColumns({"rps": q / (2.0 * max_goals), "exact_hit": hit.cast("double")}).drop("_dm", "_dt")
+    return out.withColumns({"rps": rps, "exact_hit": hit.cast("double")}).drop("_actual", *cols.values())
 
 
 def series_probability(df: DataFrame, p_home_a: str, p_home_b: str, pattern: str = "AABBABA",
