@@ -97,7 +97,6 @@ SELECT match_id AS game_id, team_id * 3 + match_id % 3 AS player_id, team_id, is
        match_date AS date, label AS season
 FROM tg WHERE match_id % 23 <> 0"""
 
-# 97ths, so that no mean falls exactly on a rounding tie
 _GVALS = """
 SELECT match_id AS game_id, team_id * 3 + match_id % 3 AS player_id, team_id, match_date AS date,
        CASE WHEN match_id % 13 = 0 THEN NULL
