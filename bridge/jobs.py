@@ -120,7 +120,7 @@ _TEAMFORM = ["point_pctg", "win_pctg", "l10_points", *SHARES, *TEAM_STRENGTHS, *
 SELECT team_id, date AS as_of_date, season, regulation_win_pctg AS reg_win_pctg, goal_differential AS goal_diff,
        rolling_pp_pctg AS pp_pctg, rolling_faceoff_winning_pctg AS faceoff_pctg, rolling_sog AS sog, {', '.join(_TEAMFORM)} FROM zside""")
 def _(v):
-    return materialize.form_snapshots(v.context, game_spine(v.context.games, None))[0]
+    return materialize.form_snapshots(materialize.form_sides(v.context, game_spine(v.context.games, None)))[0]
 
 
 @query("goalie_form_snapshots", "M6", "player_id as_of_date:t goalie_sv_pctg:d goalie_gsax:d goalie_talent_strength:d "
@@ -128,7 +128,7 @@ def _(v):
 SELECT DISTINCT player_id, date AS as_of_date, goalie_sv AS goalie_sv_pctg, goalie_gsax, goalie_talent_strength, goalie_workload, goalie_fatigue
 FROM zside WHERE player_id IS NOT NULL""")
 def _(v):
-    return materialize.form_snapshots(v.context, game_spine(v.context.games, None))[1]
+    return materialize.form_snapshots(materialize.form_sides(v.context, game_spine(v.context.games, None)))[1]
 
 
 @query("latest_form", "J2 T6", "id as_of_date:t goal_for", "games standings", """

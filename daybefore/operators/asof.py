@@ -10,20 +10,29 @@ from pyspark.sql import functions as F
 from daybefore.operators.daystate import DAY, attach, days_of, last_rows_per_day
 
 
-def asof_lookup(spine_days: DataFrame, states: DataFrame, keys: Sequence[str], inclusive: bool = False) -> DataFrame:
-    """Latest state of the key before (or on) each spine day; both sides hold one row per key and day.
+def asof_lookups(spine_days: DataFrame, states: Sequence[DataFrame], keys: Sequence[str],
+                 inclusive: bool = False) -> DataFrame:
+    """Latest state of the key before (or on) each spine day, from each of several state tables.
 
-    Linear: the two sides are unioned and the last state seen is carried forward, so no
-    pairs of rows are ever built.
+    All sides hold one row per key and day.  They are unioned and the last state seen of each
+    table is carried forward: linear, no pairs of rows are ever built, and tables with the
+    same keys share one exchange and one sort.
     """
-    vals = [c for c in states.columns if c not in (*keys, DAY)]
-    known = states.select(*keys, DAY, F.lit(0 if inclusive else 1).alias("_seq"), F.struct(*vals).alias("_v"))
-    asked = spine_days.select(*keys, DAY, F.lit(1 if inclusive else 0).alias("_seq"))
-    both = known.unionByName(asked, allowMissingColumns=True)
+    seen, asked = (0, 1) if inclusive else (1, 0)
+    vals = [[c for c in s.columns if c not in (*keys, DAY)] for s in states]
+    both = spine_days.select(*keys, DAY, F.lit(asked).alias("_seq"))
+    for i, s in enumerate(states):
+        both = both.unionByName(s.select(*keys, DAY, F.lit(seen).alias("_seq"), F.struct(*vals[i]).alias(f"_v{i}")),
+                                allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(DAY, "_seq").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.select(*keys, DAY, "_seq", F.last("_v", ignorenulls=True).over(w).alias("_v"))
-    return found.where(F.col("_seq") == (1 if inclusive else 0)).select(
-        *keys, DAY, *[F.col("_v")[c].alias(c) for c in vals])
+    found = both.select(*keys, DAY, "_seq", *[
+        F.last(f"_v{i}", ignorenulls=True).over(w).alias(f"_v{i}") for i in range(len(states))])
+    return found.where(F.col("_seq") == asked).select(
+        *keys, DAY, *[F.col(f"_v{i}")[c].alias(c) for i, cols in enumerate(vals) for c in cols])
+
+
+def asof_lookup(spine_days: DataFrame, states: DataFrame, keys: Sequence[str], inclusive: bool = False) -> DataFrame:
+    return asof_lookups(spine_days, [states], keys, inclusive)
 
 
 def latest_per_day(snap: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str],

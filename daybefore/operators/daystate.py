@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY = "_day"
 
@@ -34,6 +35,8 @@ def days_of(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
 
 def attach(df: DataFrame, by_day: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Left join a (key, day) table back onto rows."""
+    if isinstance(df.schema[time].dataType, T.DateType):
+        return df.join(by_day.withColumnRenamed(DAY, time), [*keys, time], "left")
     left = df.withColumn(DAY, F.col(time).cast("date"))
     return left.join(by_day, [*keys, DAY], "left").drop(DAY).select(*df.columns, *[
         c for c in by_day.columns if c not in (*keys, DAY)])

@@ -27,6 +27,13 @@ ACTIVE_DAYS, TOP_N, DEPTH_N = 10, 6, 12
 AVAILABLE_BASE, IMPACT_BASE, CONCENTRATION_BASE, SHOT_POINTS = 0.8, 0.6, 0.55, 0.05
 
 
+def league_states(snap: DataFrame, season: str, snap_time: str) -> DataFrame:
+    """Mean goals per game of the teams present on each snapshot date of a season."""
+    gp = F.when(F.col("games_played") != 0, F.col("games_played").cast("double"))
+    return snap.groupBy(season, F.col(snap_time).cast("date").alias(DAY)).agg(
+        F.avg(F.col("goal_for") / gp).alias("league_gf_pg"), F.avg(F.col("goal_against") / gp).alias("league_ga_pg"))
+
+
 def team_baselines(spine: DataFrame, snap: DataFrame, season: str = "season", time: str = "match_date",
                    snap_time: str = "as_of_date", base: DataFrame | None = None) -> DataFrame:
     """League goals for and against per game on the season's latest earlier snapshot date; 3.0 without one."""
@@ -51,6 +58,25 @@ def split_record(spine: DataFrame, played: DataFrame, season: str = "season", ti
                             "split_wins": F.coalesce("split_wins", F.lit(0.0))})
 
 
+def opponent_states(played: DataFrame, season: str, time: str, id: str, n: int = SCHEDULE_GAMES) -> DataFrame:
+    """The team's last ``n`` opponents of the season after each of its days, as ``_opps``."""
+    return day_end_state(played, ["team_id", season], time, [id], n, ["opp_id"],
+                         lambda w: {"_opps": F.collect_list("opp_id").over(w)})
+
+
+def schedule_values(met: DataFrame, snap: DataFrame, season: str, snap_time: str, value: str) -> DataFrame:
+    """(team, season, day) with ``_opps`` to the mean snapshot value of those opponents as of that day."""
+    keys, opp_keys = ["team_id", season], ["opp_id", season]
+    met = met.select(*keys, DAY, F.explode("_opps").alias("opp_id"))
+    met = met.groupBy(*keys, DAY, "opp_id").agg(F.count(F.lit(1)).alias("_times"))
+    states = latest_per_day(snap.withColumnRenamed("team_id", "opp_id"), opp_keys, snap_time, [value])
+    got = met.join(asof_lookup(met.select(*opp_keys, DAY).distinct(), states, opp_keys), [*opp_keys, DAY], "left")
+    v = no_nan(value)
+    per = got.groupBy(*keys, DAY).agg(
+        F.sum(v * F.col("_times")).alias("_sum"), F.sum(F.when(v.isNotNull(), F.col("_times"))).alias("schedule_n"))
+    return per.select(*keys, DAY, (F.col("_sum") / F.col("schedule_n")).alias("schedule_value"), "schedule_n")
+
+
 def schedule_form(spine: DataFrame, played: DataFrame, snap: DataFrame, season: str = "season",
                   time: str = "match_date", id: str = "match_id", snap_time: str = "as_of_date",
                   value: str = "point_pctg", n: int = SCHEDULE_GAMES, base: DataFrame | None = None) -> DataFrame:
@@ -59,19 +85,8 @@ def schedule_form(spine: DataFrame, played: DataFrame, snap: DataFrame, season:
     Adds ``schedule_value`` (NULL if none) and ``schedule_n``.
     """
     keys = ["team_id", season]
-    last_opp = day_end_state(played, keys, time, [id], n, ["opp_id"],
-                             lambda w: {"_opps": F.collect_list("opp_id").over(w)})
-    asked = days_of(base or spine, keys, time)
-    met = asof_lookup(asked, last_opp, keys).select(*keys, DAY, F.explode("_opps").alias("opp_id"))
-    met = met.groupBy(*keys, DAY, "opp_id").agg(F.count(F.lit(1)).alias("_times"))
-    opp_keys = ["opp_id", season]
-    states = latest_per_day(snap.withColumnRenamed("team_id", "opp_id"), opp_keys, snap_time, [value])
-    got = met.join(asof_lookup(met.select(*opp_keys, DAY).distinct(), states, opp_keys), [*opp_keys, DAY], "left")
-    v = no_nan(value)
-    per = got.groupBy(*keys, DAY).agg(
-        F.sum(v * F.col("_times")).alias("_sum"), F.sum(F.when(v.isNotNull(), F.col("_times"))).alias("schedule_n"))
-    per = per.select(*keys, DAY, (F.col("_sum") / F.col("schedule_n")).alias("schedule_value"), "schedule_n")
-    out = attach(spine, per, keys, time)
+    met = asof_lookup(days_of(base or spine, keys, time), opponent_states(played, season, time, id, n), keys)
+    out = attach(spine, schedule_values(met, snap, season, snap_time, value), keys, time)
     return out.withColumn("schedule_n", F.coalesce("schedule_n", F.lit(0)))
 
 
@@ -213,6 +228,20 @@ def lineup_context(spine: DataFrame, log: DataFrame, season: str = "season", tim
                    active_days: int = ACTIVE_DAYS, base: DataFrame | None = None) -> DataFrame:
     """Availability, impact and concentration of the team's most used players before each spine date.
 
+    All 0 where the team has no player with history.
+    """
+    keys = ["team_id", season]
+    out = attach(spine, lineup_values(days_of(base or spine, keys, time), log, season, log_time, id, top, depth,
+                                      active_days), keys, time)
+    names = ["lineup_availability", "top_skater_impact", "deployment_concentration"]
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names})
+
+
+def lineup_values(asked_days: DataFrame, log: DataFrame, season: str = "season", log_time: str = "date",
+                  id: str = "match_id", top: int = TOP_N, depth: int = DEPTH_N,
+                  active_days: int = ACTIVE_DAYS) -> DataFrame:
+    """Lineup columns for the (team, season, day) pairs asked for that have any.
+
     ``log`` carries ``rolling_toi_sec``, ``rolling_points`` and ``rolling_sog``.  Each player's
     row stands from the day after it until the day of the player's next row for that team and season; it is
     matched to the team's asked days in that span (a season has at most some hundred), and
@@ -223,7 +252,7 @@ def lineup_context(spine: DataFrame, log: DataFrame, season: str = "season", tim
     per_day = latest_per_day(log, [*keys, "player_id"], log_time, vals, [id])
     w = Window.partitionBy(*keys, "player_id").orderBy(DAY)
     spans = per_day.withColumn("_until", F.lead(DAY).over(w)).where(F.col("rolling_toi_sec").isNotNull())
-    asked = days_of(base or spine, keys, time).groupBy(*keys).agg(F.collect_set(DAY).alias("_days"))
+    asked = asked_days.groupBy(*keys).agg(F.collect_set(DAY).alias("_days"))
     hit = spans.withColumnRenamed(DAY, "_seen").join(asked, keys).select(
         *keys, "player_id", "_seen", *vals,
         F.explode(F.filter("_days", lambda d: (d > F.col("_seen")) & (
@@ -240,11 +269,8 @@ def lineup_context(spine: DataFrame, log: DataFrame, season: str = "season", tim
         F.count_if(both).alias("_act"), F.count_if(is_top).alias("_top"),
         F.sum(F.when(both, weight * score)).alias("_ws"), F.sum(F.when(both, weight)).alias("_w"),
         F.sum(F.when(is_top, toi)).alias("_tt"), F.sum(toi).alias("_dt"))
-    got = agg.select(
+    return agg.select(
         *keys, DAY,
         (F.col("_act") / F.greatest(F.col("_top"), F.lit(1)) - AVAILABLE_BASE).alias("lineup_availability"),
         F.when(F.col("_act") > 0, F.col("_ws") / F.col("_w") - IMPACT_BASE).otherwise(0.0).alias("top_skater_impact"),
         (F.col("_tt") / F.greatest(F.col("_dt"), F.lit(1.0)) - CONCENTRATION_BASE).alias("deployment_concentration"))
-    out = attach(spine, got, keys, time)
-    names = ["lineup_availability", "top_skater_impact", "deployment_concentration"]
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names})

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybefore.functions.scalars import bracket_year, or_default, season_of
-from daybefore.operators.asof import asof_join, asof_lookup, resolve_override
-from daybefore.operators.daystate import DAY, attach, days_of
+from daybefore.operators.asof import asof_lookup, asof_lookups, latest_per_day
+from daybefore.operators.daystate import DAY
 from daybefore.operators.pairs import (head_to_head, seat_seeds, seed_difference, series_as_of, series_context,
                                        series_state, with_pair)
 from daybefore.operators.rating import START, elo_states
-from daybefore.operators.rolling import ratio_as_of, rest_states, rolling_as_of, sides
-from daybefore.operators.strength import (lineup_context, member_strength, team_strength)
+from daybefore.operators.rolling import mean_states, ratio_states, rest_states, sides
+from daybefore.operators.strength import (LEAGUE_GOALS, league_states, lineup_values, member_baselines,
+                                          member_history, member_strength_columns, opponent_states, schedule_values, split_record, team_strength_columns)
 from daybefore.plans.columns import (GOALIE_STRENGTHS, LINEUP, SERIES, SHARES, STANDING_MEASURES, TEAM_STATS,
                                      TEAM_STRENGTHS)
 from daybefore.sources.context import Context
@@ -58,49 +59,70 @@ def side_features(ctx: Context, sides_df: DataFrame, member_mode: str = "actual"
     override, else the latest starter, for both.
     """
     played = sides(ctx.games, **_GAME, keep=["season"])
-    td = sides_df.select("team_id", "season", "date").distinct()
-    days = asof_join(td, ctx.standings, ["team_id", "season"], "date", "as_of_date", STANDING_MEASURES, base=td)
-    days = rolling_as_of(days, ctx.team_stats, "team_id", "date", "game_id", TEAM_STATS, base=td)
-    days = rolling_as_of(days, ctx.shares, "team_id", "date", "game_id", SHARES, base=td)
-    days = days.withColumnsRenamed({f"rolling_{s}": s for s in SHARES})
+    td = sides_df.select("team_id", "season", F.col("date").alias(DAY)).distinct()
+
+    # Each lookup is used once below: Spark has no common subplans, so one used twice is planned twice.
+    # by team: rolling statistics and shares, last day played
     rest_src = ctx.games if rest_types is None else ctx.games.where(F.col("game_type").isin(*rest_types))
-    last = asof_lookup(days_of(td, ["team_id"], "date"), rest_states(sides(rest_src, **_GAME), "team_id", "date"),
-                       ["team_id"])
-    days = attach(days, last, ["team_id"], "date")
-    days = days.withColumn("rest_days", F.datediff("date", "_last")).drop("_last")
-    keys = ["season", "team_id"]
+    by_team = asof_lookups(td.select("team_id", DAY).distinct(), [
+        mean_states(ctx.team_stats, "team_id", "date", "game_id", TEAM_STATS),
+        mean_states(ctx.shares, "team_id", "date", "game_id", SHARES),
+        rest_states(sides(rest_src, **_GAME), "team_id", "date")], ["team_id"])
+
+    # by team and season: standings and rating, and last opponents
+    keys = ["team_id", "season"]
+    snaps = ctx.standings.withColumn("as_of_date", F.col("as_of_date").cast("date"))
     ratings = elo_states(ctx.games, "id", "date", ["season"], "home_team_id", "away_team_id")
-    days = attach(days, asof_lookup(days_of(td, keys, "date"), ratings, keys), keys, "date")
-    days = days.withColumn("elo", F.coalesce("rating", F.lit(START))).drop("rating")
-    days = lineup_context(days, ctx.skaters, "season", "date", "date", "game_id", base=td)
-
-    rows = _members(ctx.goalies, sides_df, member_mode)
-    who = rows.select("_rolling_member", "player_id", "season", "date")
-    rows = ratio_as_of(rows, ctx.goalies.withColumnRenamed("player_id", "_rolling_member"), "_rolling_member", "date",
-                       "game_id", "saves", "shots_against", out="goalie_sv", base=who)
-    rows = rolling_as_of(rows, ctx.goalie_values.withColumnRenamed("player_id", "_rolling_member"), "_rolling_member",
-                         "date", "game_id", ["value"], base=who)
-    rows = rows.withColumnRenamed("rolling_value", "goalie_gsax").drop("_rolling_member")
-    rows = rows.join(days, ["team_id", "season", "date"], "left")
-    rows = team_strength(rows, played, ctx.standings, "season", "date", "id", "as_of_date", base=sides_df)
+    by_season = asof_lookups(td, [
+        latest_per_day(snaps, keys, "as_of_date", [*STANDING_MEASURES, "as_of_date"]), ratings], keys)
+    met = asof_lookup(td, opponent_states(played, "season", "date", "id"), keys)
+    schedule = schedule_values(met, ctx.standings, "season", "as_of_date", "point_pctg")
+    lineup = lineup_values(td, ctx.skaters, "season", "date", "game_id")
+    league = asof_lookup(td.select("season", DAY).distinct(), league_states(ctx.standings, "season", "as_of_date"),
+                         ["season"])
+    shorter = {f"rolling_{s}": F.col(f"rolling_{s}").alias(s) for s in SHARES}
+    days = by_season.join(by_team, ["team_id", DAY], "left").join(schedule, [*keys, DAY], "left").join(
+        lineup, [*keys, DAY], "left").join(league, ["season", DAY], "left")
+    new = {"rest_days": F.datediff(DAY, "_last"), "elo": F.coalesce("rating", F.lit(START)),
+           "schedule_n": F.coalesce("schedule_n", F.lit(0)),
+           "league_gf_pg": F.coalesce("league_gf_pg", F.lit(LEAGUE_GOALS)),
+           "league_ga_pg": F.coalesce("league_ga_pg", F.lit(LEAGUE_GOALS)),
+           **{c: F.coalesce(c, F.lit(0.0)) for c in LINEUP}}
+    days = days.select(F.col(DAY).alias("date"), *[shorter.get(c, F.col(c)) for c in days.columns if c not in (
+        *new, DAY, "_last", "rating")], *[e.alias(c) for c, e in new.items()])
+
+    rows = _members(sides_df, ctx.goalies, member_mode)
+    who = rows.select("_roller", "player_id", "season", F.col("date").alias(DAY))
+    rolled = asof_lookups(who.where(F.col("_roller").isNotNull()).select("_roller", DAY).distinct(), [
+        ratio_states(ctx.goalies.withColumnRenamed("player_id", "_roller"), "_roller", "date", "game_id", "saves",
+                     "shots_against", out="goalie_sv"),
+        mean_states(ctx.goalie_values.withColumnRenamed("player_id", "_roller"), "_roller", "date", "game_id",
+                    ["value"])], ["_roller"]).withColumnsRenamed({"rolling_value": "goalie_gsax", DAY: "date"})
+    rows = rows.join(rolled, ["_roller", "date"], "left").join(days, [*keys, "date"], "left")
+    rows = split_record(rows, played, "season", "date", base=sides_df)
+    rows = team_strength_columns(rows)
     rows = rows.withColumn("_rest_used", F.col("rest_days") if use_rest else F.lit(None).cast("int"))
-    rows = member_strength(rows, ctx.goalies, ctx.goalie_values, "season", "date", "date", "_rest_used", base=who)
-    return rows.drop("_rest_used", "_override")
+    rows = member_baselines(rows, ctx.goalies, ctx.goalie_values, "season", "date", "date", base=sides_df)
+    rows = member_history(rows, ctx.goalies, ctx.goalie_values, "season", "date", "date",
+                          base=who.withColumnRenamed(DAY, "date"))
+    return member_strength_columns(rows, "_rest_used")
 
 
-def _members(starts: DataFrame, sides_df: DataFrame, mode: str) -> DataFrame:
-    """Sides with ``player_id`` (for the strengths) and ``_rolling_member`` (for the rolling columns)."""
+def _members(sides_df: DataFrame, starts: DataFrame, mode: str) -> DataFrame:
+    """Sides with ``player_id`` (for the strengths) and ``_roller`` (for the rolling columns)."""
+    latest = latest_per_day(starts, ["team_id"], "date", ["player_id"], ["game_id"])
+    latest = asof_lookup(sides_df.select("team_id", F.col("date").alias(DAY)).distinct(), latest, ["team_id"])
+    rows = sides_df.join(latest.withColumnsRenamed({DAY: "date", "player_id": "_latest"}), ["team_id", "date"], "left")
     if mode == "latest":
-        rows = resolve_override(sides_df, starts, "team_id", "player_id", "date", "date", "_override", ["game_id"])
-        return rows.withColumn("_rolling_member", F.col("player_id")).drop("override_used")
+        first = starts.groupBy("team_id", F.col("player_id").alias("_override")).agg(F.min("date").alias("_first"))
+        who = F.when(F.col("_first") < F.col("date"), F.col("_override")).otherwise(F.col("_latest"))
+        return rows.join(first, ["team_id", "_override"], "left").select(
+            *sides_df.columns, who.alias("player_id"), who.alias("_roller"))
     if mode != "actual":
         raise ValueError("member_mode is 'actual' or 'latest'")
-    hist = starts.select("team_id", F.col("date").alias("_t"), F.col("game_id").alias("_g"),
-                         F.col("player_id").alias("_latest"))
-    rows = asof_join(sides_df, hist, ["team_id"], "date", "_t", ["_latest"], order=["_g"]).drop("_t")
-    actual = starts.groupBy("game_id", "team_id", "is_home").agg(F.min("player_id").alias("_rolling_member"))
-    rows = rows.join(actual, ["game_id", "team_id", "is_home"], "left")
-    return rows.withColumn("player_id", F.coalesce("_rolling_member", "_latest")).drop("_latest")
+    actual = starts.groupBy("game_id", "team_id", "is_home").agg(F.min("player_id").alias("_roller"))
+    return rows.join(actual, ["game_id", "team_id", "is_home"], "left").select(
+        *sides_df.columns, F.coalesce("_roller", "_latest").alias("player_id"), "_roller")
 
 
 _SIDE_VALUES = [*STANDING_MEASURES, "as_of_date", *[f"rolling_{c}" for c in TEAM_STATS], *SHARES, "rest_days", "elo",

@@ -12,6 +12,7 @@ from daybefore.operators.asof import asof_join
 from daybefore.plans.columns import (GOALIE_STRENGTHS, LINEUP, PLAYOFF_CONTRACT, SHARES, STORE_CONTRACT,
                                      STORE_VERSION, TEAM_STATS, TEAM_STRENGTHS, TRAINING_CONTRACT)
 from daybefore.plans.features import SPINE, attach_series, build_features, side_features
+from daybefore.session import cut_lineage
 from daybefore.sources.context import Context
 from daybefore.sources.scans import PLAYOFF, REGULAR, first_non_empty, read_or_empty
 from daybefore.sources.store import upsert
@@ -32,21 +33,25 @@ def store_rows(ctx: Context, series: DataFrame, game_type: str = "all", limit: i
     return rows.orderBy("date", "game_id").limit(limit) if limit is not None else rows
 
 
-def form_snapshots(ctx: Context, rows: DataFrame, version: str = STORE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Team and goalie form per (entity, date) of the stored rows; the day's last game wins.
-
-    ``rows`` needs game, season, date and the two teams.  Rest is left out of the goalie part.
-    """
+def form_sides(ctx: Context, rows: DataFrame) -> DataFrame:
+    """Side columns of the last game of each (team, date) of the rows (game, season, date, two teams)."""
     def side(name, is_home):
-        return rows.select(
-            F.concat_ws("-", F.col("game_id").cast("string"), F.lit(name)).alias(SPINE), "season", "date",
-            F.col(f"{name}_team_id").alias("team_id"), F.lit(is_home).alias("is_home"),
-            F.lit(None).cast("long").alias("game_id"), F.lit(None).cast("long").alias("_override"),
-            F.col("game_id").alias("_g"))
-    both = side("home", True).unionByName(side("away", False))
+        return F.struct(F.col(f"{name}_team_id").alias("team_id"), F.lit(is_home).alias("is_home"))
+    both = rows.select(F.col("game_id").alias("_g"), "season", "date", F.inline(F.array(
+        side("home", True), side("away", False))))
+    none = F.lit(None).cast("long")
+    both = both.select("*", F.concat_ws("-", F.col("_g").cast("string"), F.col("is_home").cast("string")).alias(SPINE),
+                       none.alias("game_id"), none.alias("_override"))
     w = Window.partitionBy("team_id", "date").orderBy(F.col("_g").desc(), F.col("is_home").cast("int"))
     last = both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_g")
-    full = side_features(ctx, last, "latest", use_rest=False)
+    return side_features(ctx, last, "latest", use_rest=False)
+
+
+def form_snapshots(full: DataFrame, version: str = STORE_VERSION) -> tuple[DataFrame, DataFrame]:
+    """Team form per (team, date) and goalie form per (goalie, date) from :func:`form_sides`.
+
+    Rest is left out of the goalie part.
+    """
     team = full.select(
         "team_id", F.col("date").alias("as_of_date"), "season", "point_pctg", "win_pctg",
         F.col("regulation_win_pctg").alias("reg_win_pctg"), F.col("goal_differential").alias("goal_diff"),
@@ -73,20 +78,17 @@ class Written:
 def materialize(ctx: Context, series: DataFrame, path: str, game_type: str = "all", limit: int | None = None,
                 version: str = STORE_VERSION, dry_run: bool = False) -> Written:
     """Build and upsert the three tables under ``path``; with ``dry_run`` only count."""
-    rows = store_rows(ctx, series, game_type, limit, version).persist()
-    try:
-        counts = {r["game_type"]: r["count"] for r in rows.groupBy("game_type").count().collect()}
-        team, goalie = form_snapshots(ctx, rows, version)
-        month = F.date_format("as_of_date", "yyyy-MM")
-        return Written(
-            upsert(f"{path}/game_features", rows, ["game_id"], ["date"], "season", dry_run),
-            upsert(f"{path}/team_form", team.withColumn("month", month), ["team_id", "as_of_date"], ["season"],
-                   "month", dry_run),
-            upsert(f"{path}/goalie_form", goalie.withColumn("month", month), ["player_id", "as_of_date"],
-                   ["team_id"], "month", dry_run),
-            counts)
-    finally:
-        rows.unpersist()
+    rows = cut_lineage(store_rows(ctx, series, game_type, limit, version))
+    counts = {r["game_type"]: r["count"] for r in rows.groupBy("game_type").count().collect()}
+    team, goalie = form_snapshots(cut_lineage(form_sides(ctx, rows)), version)
+    month = F.date_format("as_of_date", "yyyy-MM")
+    return Written(
+        upsert(f"{path}/game_features", rows, ["game_id"], ["date"], "season", dry_run),
+        upsert(f"{path}/team_form", team.withColumn("month", month), ["team_id", "as_of_date"], ["season"], "month",
+               dry_run),
+        upsert(f"{path}/goalie_form", goalie.withColumn("month", month), ["player_id", "as_of_date"], ["team_id"],
+               "month", dry_run),
+        counts)
 
 
 def stored_features(spark, path: str, game_type: int | None = None) -> DataFrame:
