@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from bridge.basic import _store_path
@@ -315,7 +313,7 @@ def _(v):
     ctx = v.context
     feats = _cut(scans.with_scores(build_features(ctx, game_type=2), ctx.games))
     payload = ml.Payload(ml.fit_goals(ml.prepare(feats, cols), cols), cols, "goals", lambda3=0.0)
-    lo, hi = datetime.date(1999, 1, 1), datetime.date(2000, 12, 31)
+    lo, hi = v.games.agg(F.min("date"), F.max("date")).first()
     done = serve.score_dates(ctx, lo, hi, payload, v.odds, path=_store_path(v, "serving"))
     return done.daily
 

@@ -215,7 +215,8 @@ def build_features(ctx: Context, spine: DataFrame | None = None, game_type: int
     Without a spine the games are the spine and the recorded starters are used.  With one
     (``spine_id``, home, away, date, optional season, optional ``home_goalie_id`` /
     ``away_goalie_id``), one plan answers all requests.  Head-to-head uses the games of
-    ``h2h_types``; by default regular-season games when building those, else all.
+    ``h2h_types``; by default regular-season games when building those, else all.  With
+    ``"by_type"`` regular-season rows use regular-season games and all others use all games.
     """
     if spine is None:
         spine = game_spine(ctx.games, game_type)
@@ -227,8 +228,16 @@ def build_features(ctx: Context, spine: DataFrame | None = None, game_type: int
         member_mode = member_mode or "latest"
     side_rows = side_features(ctx, _sides(spine), member_mode, rest_types=rest_types)
     pairs = usable(paired(spine, side_rows))
-    games = ctx.games if h2h_types is None else ctx.games.where(F.col("game_type").isin(*h2h_types))
-    pairs = head_to_head(pairs, games, "home_team_id", "away_team_id", "date", base=spine)
+    regular = ctx.games.where(F.col("game_type") == REGULAR)
+    if h2h_types == "by_type":
+        pairs = head_to_head(pairs, ctx.games, "home_team_id", "away_team_id", "date", base=spine)
+        pairs = pairs.withColumnRenamed("h2h_home_win_pctg", "_any").drop("h2h_n", "h2h_home_wins")
+        pairs = head_to_head(pairs, regular, "home_team_id", "away_team_id", "date", base=spine)
+        mine = F.when(F.col("game_type") == REGULAR, F.col("h2h_home_win_pctg")).otherwise(F.col("_any"))
+        pairs = pairs.withColumn("h2h_home_win_pctg", mine)
+    else:
+        games = ctx.games if h2h_types is None else ctx.games.where(F.col("game_type").isin(*h2h_types))
+        pairs = head_to_head(pairs, games, "home_team_id", "away_team_id", "date", base=spine)
     return assemble(pairs, ("season", "date", "game_type", "home_team_id", "away_team_id", "target"))
 
 
