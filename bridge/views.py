@@ -51,7 +51,7 @@ FROM events"""
 _PLAYGAME = """
 SELECT DISTINCT dayofyear(ts) * 10 + user_id % 10 AS game_id, dayofyear(ts) AS season, CAST(ts AS DATE) AS date,
        1 AS home_team_id, 2 AS away_team_id
-FROM events WHERE (dayofyear(ts) * 10 + user_id % 10) % 7 <> 3"""
+FROM events WHERE event_type = 'purchase'"""
 
 _ODDS = """
 SELECT match_id AS game_id, match_date AS date, 'opening' AS snapshot_type, match_id AS quote_id,
@@ -95,13 +95,13 @@ _GOALIES = """
 SELECT match_id AS game_id, team_id * 3 + match_id % 3 AS player_id, team_id, is_home,
        18 + (match_id * 7 + team_id) % 17 AS saves, 18 + (match_id * 7 + team_id) % 17 + ga AS shots_against,
        match_date AS date, label AS season
-FROM tg WHERE match_id % 23 <> 0"""
+FROM tg WHERE gf + ga <> 3"""
 
 _GVALS = """
 SELECT match_id AS game_id, team_id * 3 + match_id % 3 AS player_id, team_id, match_date AS date,
        CASE WHEN match_id % 13 = 0 THEN NULL
             ELSE ((match_id * 31 + team_id * 17) % 400 - 200) / CAST(97 AS DOUBLE) END AS value, label AS season
-FROM tg WHERE match_id % 23 <> 0"""
+FROM tg WHERE gf + ga <> 3"""
 
 _TSTATS = """
 SELECT match_id AS game_id, team_id, is_home, match_date AS date,
@@ -148,7 +148,7 @@ FROM (
          greatest(home_team_id, away_team_id) AS bottom_seed_team_id,
          (least(home_team_id, away_team_id) + greatest(home_team_id, away_team_id)) % 5 AS round_number,
          sum(CASE WHEN home_score > away_score THEN 1 ELSE 0 END) % 5 AS top_seed_wins, count(*) % 5 AS bottom_seed_wins
-  FROM games WHERE game_type = 3 AND (home_team_id * 5 + away_team_id * 3) % 8 <> 0 GROUP BY 1, 2, 3, 4
+  FROM games WHERE game_type = 3 AND home_team_id + away_team_id <> 31 GROUP BY 1, 2, 3, 4
 ) s"""
 
 _TG = """
