@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daybefore.session import checkpoint_dir
+
 #: Rows handed to a Python helper at once, so that long texts don't pile up.
 SLICE = 512
 
@@ -37,3 +40,14 @@ def sha256_hex(text: str) -> str:
 def held_out(key: Column, folds: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves ``remainder``; a null id is held out."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == remainder, F.lit(True))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder as Parquet and read again.
+
+    Cuts the lineage with columnar files that every executor can reach; they stay until the
+    folder is cleaned, as checkpoints do.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
