@@ -10,12 +10,15 @@ in a subset are linked without looking at them again.  A star per subset replace
 *Large sets* scan inverted lists.  Under one global order of shingles, linked sets share one
 of their first n - ceil(4n/5) + 1, so only these are indexed.  Shingles that many documents carry are put
 last in the order (the most frequent ones, at most ``HEAVY``, so the broadcast has a fixed size;
-any fixed choice of them keeps the join exact).  Scanning takes two steps:
+any fixed choice of them keeps the join exact).  Short lists give their pairs of like size at once.
+Frequent ones are scanned in two steps:
 
 1. every member of a list is compared with the smallest member of its size band; links found this
    way gather groups of near copies at a cost linear in the lists;
-2. members that still lie in different components are compared, unless their distances to a
-   common set of step 1 already tell them apart (Jaccard distance is a metric).
+2. members that still lie in different components are compared.
+
+Before sets are fetched, a pair must pass a parity sketch: each shingle flips one of 1024 bits, so the
+bits in which two sketches differ are never more than the shingles in which the sets do.
 
 Pairs inside a component need no comparison, so a group of thousands of near copies never
 becomes all its pairs, and no link between different components is missed.
@@ -33,13 +36,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pandas.util import hash_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybefore.llm import graph
@@ -50,8 +52,13 @@ WORDS = 5
 HEAVY, FREQUENT = 1 << 18, 24
 #: Cost of an entry of an inverted list (kept, compared, verified) in listed subsets; largest boundary tried.
 LIST_COST, LARGEST_BOUNDARY = 3, 24
+#: A list with more members than this is treated like that of a frequent shingle.
+LONG = 48
 #: Numbers gathered by a task before it hands them on.
 FLUSH = 1 << 20
+#: 64-bit words of a parity sketch; 64-bit words of the filter that tells which texts to fetch.
+SKETCH, FILTER = 16, 1 << 17
+_SKETCH = [f"s{i}" for i in range(SKETCH)]
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -97,6 +104,11 @@ def overlap(a: int, b: int) -> int:
     return (4 * (a + b) + 8) // 9
 
 
+def band_of(n: int) -> int:
+    """Sizes of linked sets lie in the same or in neighbouring bands."""
+    return int(log(n) / log(1.25))
+
+
 def partners(n: int, boundary: int) -> list[tuple[int, int]]:
     """Size pairs (smaller, larger) a set of size ``n`` belongs to, up to the boundary."""
     low, high = (4 * n + 4) // 5, min(5 * n // 4, boundary)
@@ -148,15 +160,30 @@ def _buckets(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sets(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n`` (set size) and ``sid`` (digest of the set; null where empty) per row."""
+    """``doc_id``, ``n`` (set size), ``sid`` (digest of the set; null where empty) and the sketch per row."""
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = shingles(batch.column("text").to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()),
-                                               pa.array([set_id(s) if len(s) else None for s in found], pa.int64())], ["doc_id", "n", "sid"])
+            marks = np.array([sketch(s) for s in found]).reshape(-1, SKETCH)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([len(s) for s in found], pa.int64()), pa.array([set_id(s) if len(s) else None for s in found], pa.int64()),
+                 *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(SKETCH))], ["doc_id", "n", "sid", *_SKETCH])
         return run
-    return arrow_map(docs, make, "doc_id long, n long, sid long")
+    return arrow_map(docs, make, "doc_id long, n long, sid long, " + ", ".join(f"{c} long" for c in _SKETCH))
+
+
+def may_link(x: str, y: str) -> Column:
+    """Whether sizes and sketches of the rows aliased ``x`` and ``y`` leave a link possible."""
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in _SKETCH[1:]),
+                 F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * differ <= n + m)
 
 
 def frequent_shingles(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +197,7 @@ def frequent_shingles(docs: DataFrame, least: int) -> tuple[np.ndarray, np.ndarr
         deal = _Dealer(buckets, ["shingles"])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                parts = [s[:2 * prefix_length(len(s)) + 16] for s in shingles(batch.column("text").slice(at, 256).to_pylist()) if len(s) >= least]
+                parts = [s[:5 * prefix_length(len(s)) // 4 + 8] for s in shingles(batch.column("text").slice(at, 256).to_pylist()) if len(s) >= least]
                 if parts:
                     low = np.concatenate(parts).astype(np.uint32)
                     yield from deal.add(low % buckets, low)
@@ -201,12 +228,15 @@ def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nda
     return s[:size], np.zeros(size, bool)
 
 
-def list_entries(docs: DataFrame, least: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """``shingle``, ``sid``: entries of inverted lists that more than one set has entries in."""
+def lists(docs: DataFrame, least: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """What the inverted lists hold, as rows (``a``, ``b``, ``shingle``).
+
+    A short list gives its pairs of like size, ``a`` and ``b``; a frequent shingle its members ``a``.
+    """
     buckets = _buckets(docs)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal = _Dealer(buckets, ["shingles", "sids", "frequent"])
+        deal = _Dealer(buckets, ["shingles", "sids", "bands"])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for s in shingles(batch.column("text").slice(at, 256).to_pylist()):
@@ -214,106 +244,137 @@ def list_entries(docs: DataFrame, least: int, heavy: np.ndarray, counts: np.ndar
                         first, last = prefix(s, heavy, counts)
                         sid = set_id(s)
                         spread = np.where(last, np.uint64(sid & 0xFFFF), np.uint64(0))  # a frequent shingle's list is dealt over all buckets
-                        yield from deal.add((first + spread) % np.uint64(buckets), first, np.full(len(first), sid, np.int64), last)
+                        band = (band_of(len(s)) + 128 * last).astype(np.uint8)
+                        yield from deal.add((first + spread) % np.uint64(buckets), first, np.full(len(first), sid, np.int64), band)
         yield from deal.flush()
 
-    def several(table: pa.Table) -> pa.Table:
-        got = [np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("shingles", np.uint64), ("sids", np.int64), ("frequent", bool))]
-        rows = pd.DataFrame({"shingle": got[0].view(np.int64), "sid": got[1], "frequent": got[2]}).drop_duplicates()
-        rows = rows[rows["frequent"] | rows.duplicated("shingle", keep=False)]
-        return pa.Table.from_pandas(rows[["shingle", "sid"]], preserve_index=False)
-    dealt = docs.select("text").mapInArrow(emit, "bucket int, shingles binary, sids binary, frequent binary")
-    return dealt.groupBy("bucket").applyInArrow(several, "shingle long, sid long")
-
-
-def small_links(docs: DataFrame, boundary: int) -> DataFrame:
+    def pairs(table: pa.Table) -> pa.Table:
+        shingle, sid, band = (np.concatenate([np.frombuffer(b, kind) for b in table.column(c).to_pylist()])
+                              for c, kind in (("shingles", np.uint64), ("sids", np.int64), ("bands", np.uint8)))
+        order = np.lexsort((sid, shingle))
+        shingle, sid, band = shingle[order], sid[order], band[order]
+        new = np.r_[True, (shingle[1:] != shingle[:-1]) | (sid[1:] != sid[:-1])]  # copies of a set are one member
+        shingle, sid, band = shingle[new], sid[new], band[new]
+        start = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+        size = np.diff(np.r_[start, len(shingle)])
+        member = (band >= 128) | np.repeat(size > LONG, size)
+        found = []
+        for step in range(1, min(LONG, int(size.max(initial=1)))):  # each member with the one ``step`` further on
+            x = np.flatnonzero((shingle[step:] == shingle[:-step]) & ~member[step:])
+            x = x[np.abs(band[x].astype(int) - band[x + step]) <= 1]
+            found.append(np.stack([sid[x], sid[x + step]], axis=1))
+        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        none = [None] * len(both)
+        return pa.table({"a": pa.array(np.r_[both[:, 0], sid[member]]), "b": pa.concat_arrays([pa.array(both[:, 1].copy()), pa.nulls(int(member.sum()), pa.int64())]),
+                         "shingle": pa.concat_arrays([pa.array(none, pa.int64()), pa.array(shingle[member].view(np.int64))])})
+    dealt = docs.select("text").mapInArrow(emit, "bucket int, shingles binary, sids binary, bands binary")
+    return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long, shingle long")
+
+
+def small_links(docs: DataFrame, classes: DataFrame, boundary: int) -> DataFrame:
     """Links ``a``, ``b`` of sets up to the boundary: a star around a set of the smaller size per shared subset."""
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [(k, set_id(s), small) for s in shingles(batch.column("text").to_pylist()) if 0 < len(s) <= boundary for k, small in subset_keys(s, boundary)]
+            rows = []
+            for sid, raw in zip(batch.column("sid").to_pylist(), batch.column("shingles").to_pylist()):
+                s = np.frombuffer(raw, np.uint64)
+                rows += [(k, sid, small) for k, small in subset_keys(s, boundary)] if len(s) <= boundary else []
             key, sid, small = zip(*rows) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(small, pa.bool_())], ["key", "sid", "small"])
         return run
-    rows = stored(arrow_map(docs, make, "key long, sid long, small boolean"))
+    small = fetched(docs, classes.filter(F.col("n") <= boundary).select(F.col("rep").alias("doc_id")))
+    rows = stored(arrow_map(small, make, "key long, sid long, small boolean").distinct())
     hubs = (rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min(F.when(F.col("small"), F.col("sid"))).alias("hub"))
             .filter((F.col("lo") != F.col("hi")) & F.col("hub").isNotNull()).select("key", "hub"))
     return rows.join(hubs, "key").filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``a``, ``b`` and their ``similarity``; ``members`` holds the sets (sid, shingles)."""
+def fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sid``, ``shingles`` of at least the documents whose ids ``wanted`` holds.
+
+    A bit filter of fixed size tells the scan which texts can be wanted, so texts aren't shuffled.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(64 * FILTER))
+    words = (wanted.select(place.alias("place")).selectExpr("cast(place div 64 as int) AS word", "shiftleft(1L, cast(place % 64 as int)) AS bit")
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())  # FILTER rows at most
+    bits = np.zeros(FILTER, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+
+    def make():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            at = batch.column("place").to_numpy()
+            keep = np.flatnonzero(bits[at // 64] >> (at % 64) & 1)
+            if not len(keep):
+                return None
+            found = [s for s in shingles(batch.column("text").take(pa.array(keep)).to_pylist()) if len(s)]
+            return pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "shingles"])
+        return run
+    return arrow_map(docs.select(place.alias("place"), "text"), make, "sid long, shingles binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (a, b) of set ids that link, by their whole sets."""
+    pairs = stored(pairs)
+    ends = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    members = stored(fetched(docs, ends.join(classes.select("sid", "rep"), "sid").select(F.col("rep").alias("doc_id"))).join(ends, "sid", "left_semi"))
     left = pairs.join(members.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(members.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out, last, other = [], None, None
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x = np.frombuffer(x, np.uint64)
-                if y is not last:
-                    last, other = y, np.frombuffer(y, np.uint64)
-                at = np.searchsorted(other, x)
-                at[at == len(other)] = 0
-                common = int((other[at] == x).sum())
-                out.append((common, len(x) + len(other) - common))
-            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([c for c, _ in out], pa.int64()), pa.array([u for _, u in out], pa.int64())],
-                                              ["a", "b", "common", "together"])
+            linked = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                common = int((y[at] == x).sum())
+                linked.append(5 * common >= 4 * (len(x) + len(y) - common))
+            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
         return run
-    got = arrow_map(both, make, "a long, b long, common long, together long")
-    return got.select("a", "b", (5 * F.col("common") >= 4 * F.col("together")).alias("linked"), (1 - F.col("common") / F.col("together")).alias("distance"))
+    return stored(arrow_map(both, make, "a long, b long, linked boolean").filter("linked").select("a", "b").distinct())
 
 
 def large_links(docs: DataFrame, classes: DataFrame, boundary: int, known: DataFrame) -> DataFrame:
     """Links between sets of which the larger lies above the boundary, enough to connect all that are linked.
 
-    ``classes`` has one row per distinct set (sid, n, rep); ``known`` the links found before.
+    ``classes`` has one row per distinct set (sid, n, rep, sketch); ``known`` the links found before.
     """
     least = (4 * (boundary + 1) + 4) // 5
     heavy, counts = frequent_shingles(docs, least)
-    entries = list_entries(docs, least, heavy, counts).join(classes.select("sid", "n"), "sid")
-    entries = stored(entries.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")))
-    wanted = classes.join(entries.select("sid").distinct(), "sid").select(F.col("rep").alias("doc_id")).distinct()
-
-    def make():
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = shingles(batch.column("text").to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["sid", "shingles"])
-        return run
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    members = stored(arrow_map(texts, make, "sid long, shingles binary").dropDuplicates(["sid"]))
-
-    hubs = entries.groupBy("shingle", "band").agg(F.min("sid").alias("hub"), F.max("sid").alias("hi")).filter("hub <> hi").drop("hi")
-    stars = entries.join(hubs, ["shingle", "band"]).filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    first = stored(verified(stars, members))
-    links = stored(known.unionByName(first.filter("linked").select("a", "b")))
-
-    joined = graph.components(links)
-    rows = (entries.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid")))
-    rows = stored(rows)
-    open_lists = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
-    hub_of = hubs.withColumnRenamed("hub", "h")
-    rows = (rows.join(open_lists, "shingle", "left_semi").join(hub_of, ["shingle", "band"], "left")
-            .join(first.select(F.col("a").alias("sid"), F.col("b").alias("h"), "distance"), ["sid", "h"], "left")
-            .withColumn("distance", F.when(F.col("sid") == F.col("h"), 0.0).otherwise(F.col("distance"))))
-    rows = stored(rows.select("shingle", "sid", "n", "component", "h", "distance"))
+    found = stored(lists(docs, least, heavy, counts))
+    marks = classes.select("sid", "n", *_SKETCH)
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        x, y = marks.alias("x"), marks.alias("y")
+        return (pairs.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).filter(may_link("x", "y")).select("a", "b"))
+
+    short = found.filter("b IS NOT NULL").select("a", "b").distinct()
+    rows = found.filter("b IS NULL").select("shingle", F.col("a").alias("sid")).join(marks, "sid")
+    rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")))
+    hubs = rows.groupBy("shingle", "band").agg(F.min("sid").alias("hub"), F.max("sid").alias("hi")).filter("hub <> hi").drop("hi")
+    stars = rows.select("shingle", "band", "sid").join(hubs, ["shingle", "band"]).filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
+    links = stored(known.unionByName(verified(possible(short.unionByName(stars).distinct()), docs, classes)))
+
+    rows = stored(rows.drop("band").join(graph.components(links).withColumnRenamed("node", "sid"), "sid", "left")
+                  .withColumn("component", F.coalesce("component", "sid")))
+    unlike = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
+    rows = stored(rows.join(unlike, "shingle", "left_semi"))
+    # members carry their sketches, so that lists aren't written out as pairs
     x, y = rows.alias("x"), rows.alias("y")
-    told = (F.col("x.h") == F.col("y.h")) & (F.abs(F.col("x.distance") - F.col("y.distance")) > 0.2 + 1e-9)
-    pairs = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component"))
-                    & (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n")) & ~F.coalesce(told, F.lit(False)))
+    pairs = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
              .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
-    pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    return links.unionByName(verified(pairs, members).filter("linked").select("a", "b"))
+    return links.unionByName(verified(pairs, docs, classes))
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` (smallest id reachable by links) for every row."""
     docs = document_columns(docs, id_col, text_col)
-    rows = stored(sets(docs))
-    classes = stored(rows.filter("doc_id IS NOT NULL AND sid IS NOT NULL").groupBy("sid").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep")))
+    rows = stored(sets(docs))  # narrow: ids, sizes and sketches
+    classes = stored(rows.filter("doc_id IS NOT NULL AND sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), *[F.min(c).alias(c) for c in ("n", *_SKETCH)]))
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= 2 * LARGEST_BOUNDARY).groupBy("n").count().collect()}
     boundary = choose_boundary(sizes)
     named = docs.filter("doc_id IS NOT NULL")
-    links = stored(large_links(named, classes, boundary, stored(small_links(named, boundary))))
+    links = stored(large_links(named, classes, boundary, stored(small_links(named, classes, boundary))))
     # sets become documents: each class is a star around its smallest id
     reps = classes.select("sid", "rep")
     between = (links.join(reps.withColumnRenamed("rep", "ra"), F.col("a") == F.col("sid")).drop("sid")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybefore.llm import decontaminate, fixity, licenses, line_dedup, ngram_join, one_bit_search, pii, quality, sentencepiece_bpe
+from daybefore.llm import context_mixing, decontaminate, fixity, licenses, line_dedup, ngram_join, one_bit_search, pii, quality, sentencepiece_bpe
 
 #: The tokenizer file; a parameter of the deployment, never copied here.
 MODEL_PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -124,6 +124,10 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(reached) AS c FROM
 """
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -179,5 +183,5 @@ def op10_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_search.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fixity, op4_sentencepiece, op5_ngram_join, op7_quality, op8_line_dedup, op9_licenses, op10_one_bit_search)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fixity, op4_sentencepiece, op5_ngram_join, op6_context_mixing, op7_quality, op8_line_dedup, op9_licenses, op10_one_bit_search)}
 SQL = {"op2_decontamination": OP2_SQL, "op3_fixity": OP3_SQL, "op5_ngram_join": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL}
