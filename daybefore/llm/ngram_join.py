@@ -282,7 +282,7 @@ def small_links(docs: DataFrame, classes: DataFrame, boundary: int) -> DataFrame
             key, sid, small = zip(*rows) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(sid, pa.int64()), pa.array(small, pa.bool_())], ["key", "sid", "small"])
         return run
-    small = fetched(docs, classes.filter(F.col("n") <= boundary).select(F.col("rep").alias("doc_id")))
+    small = stored(fetched(docs, classes.filter(F.col("n") <= boundary).select(F.col("rep").alias("doc_id"))))
     rows = stored(arrow_map(small, make, "key long, sid long, small boolean").distinct())
     hubs = (rows.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min(F.when(F.col("small"), F.col("sid"))).alias("hub"))
             .filter((F.col("lo") != F.col("hi")) & F.col("hub").isNotNull()).select("key", "hub"))
@@ -353,7 +353,17 @@ def large_links(docs: DataFrame, classes: DataFrame, boundary: int, known: DataF
     rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")))
     hubs = rows.groupBy("shingle", "band").agg(F.min("sid").alias("hub"), F.max("sid").alias("hi")).filter("hub <> hi").drop("hi")
     stars = rows.select("shingle", "band", "sid").join(hubs, ["shingle", "band"]).filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    links = stored(known.unionByName(verified(possible(short.unionByName(stars).distinct()), docs, classes)))
+    asked = short.unionByName(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    asked = stored(possible(asked))
+    # one pair per set first: what it connects needs no further comparison
+    one = stored(asked.groupBy("a").agg(F.min("b").alias("b")))
+    links = stored(known.unionByName(verified(one, docs, classes)))
+    joined = stored(graph.components(links))
+    for end in ("a", "b"):
+        asked = (asked.join(joined.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+                 .withColumn(f"c{end}", F.coalesce(f"c{end}", end)))
+    asked = asked.filter("ca <> cb").select("a", "b").join(one, ["a", "b"], "left_anti")
+    links = stored(links.unionByName(verified(asked, docs, classes)))
 
     rows = stored(rows.drop("band").join(graph.components(links).withColumnRenamed("node", "sid"), "sid", "left")
                   .withColumn("component", F.coalesce("component", "sid")))
