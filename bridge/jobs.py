@@ -312,7 +312,7 @@ def _(v):
     cols = ["elo_diff", "home_sog", "away_sog", "diff_goal_diff"]
     ctx = v.context
     feats = _cut(scans.with_scores(build_features(ctx, game_type=2), ctx.games))
-    payload = ml.Payload(ml.fit_goals(ml.prepare(feats, cols), cols), cols, "goals", lambda3=0.0)
+    payload = ml.Payload(ml.fit_goals(ml.prepare(feats, cols), cols), cols, "goals")
     lo, hi = v.games.agg(F.min("date"), F.max("date")).first()
     done = serve.score_dates(ctx, lo, hi, payload, v.odds, path=_store_path(v, "serving"))
     return done.daily

@@ -144,7 +144,7 @@ def paired(spine: DataFrame, side_rows: DataFrame) -> DataFrame:
 def usable(pairs: DataFrame) -> DataFrame:
     """Drop pairings without a snapshot on either side, or with no games played on both."""
     return pairs.where(F.col("home.as_of_date").isNotNull() & F.col("away.as_of_date").isNotNull() & ~(
-        (F.col("home.games_played") == 0) & (F.col("away.games_played") == 0)))
+        F.col("home.games_played").eqNullSafe(0) & F.col("away.games_played").eqNullSafe(0)))
 
 
 def assemble(pairs: DataFrame, keep=("season", "date", "home_team_id", "away_team_id")) -> DataFrame:

@@ -168,9 +168,13 @@ class Payload:
     features: list[str]
     name: str
     threshold: float = 0.5
-    lambda3: float | None = None
     version: str = "1"
 
+    @property
+    def lambda3(self) -> float | None:
+        """The shared term of a goals model, which alone holds it."""
+        return self.model.lambda3 if isinstance(self.model, GoalsModel) else None
+
     def save(self, spark: SparkSession, path: str) -> None:
         parts = {"kind": "plain", "method": ""}
         if isinstance(self.model, Calibrated):
@@ -206,7 +210,7 @@ def load_payload(spark: SparkSession, path: str) -> Payload:
         model = GoalsModel(h, a, meta["lambda3"]) if meta["kind"] == "goals" else ScoreModel(h, a)
     else:
         model = PipelineModel.load(f"{path}/model")
-    return Payload(model, meta["features"], meta["name"], meta["threshold"], meta["lambda3"], meta["version"])
+    return Payload(model, meta["features"], meta["name"], meta["threshold"], meta["version"])
 
 
 @dataclass

@@ -84,11 +84,13 @@ def with_scores(features: DataFrame, games: DataFrame, on: str = "game_id", id:
 
 
 def excluding(df: DataFrame, column: str, values: Sequence) -> DataFrame:
-    return df.where(~F.col(column).isin(*values)) if values else df
+    """Rows whose column is none of ``values``; null is none of them."""
+    return df.where(~F.coalesce(F.col(column).isin(*values), F.lit(False))) if values else df
 
 
 def holdout(df: DataFrame, season: str, test_season) -> tuple[DataFrame, DataFrame]:
-    test = F.col(season) == F.lit(test_season)
+    """Training and test rows; a row without season trains."""
+    test = F.coalesce(F.col(season) == F.lit(test_season), F.lit(False))
     return df.where(~test), df.where(test)
 
 
