@@ -231,4 +231,4 @@ UNION ALL SELECT sid, season, date, away_team_id, false, game_id, away_asked FRO
 SELECT q.sid AS game_id, q.season, q.date, q.game_type, q.home_team_id, q.away_team_id, q.target, {cols}
 FROM {p}pairs q JOIN {p}side h ON h.sid = q.sid AND h.is_home JOIN {p}side a ON a.sid = q.sid AND NOT a.is_home
 ASOF LEFT JOIN {pairday} p ON p.lo = least(q.home_team_id, q.away_team_id) AND p.hi = greatest(q.home_team_id, q.away_team_id) AND q.date > p.day
-WHERE h.as_of_date IS NOT NULL AND a.as_of_date IS NOT NULL AND NOT (h.games_played = 0 AND a.games_played = 0)""")
+WHERE h.as_of_date IS NOT NULL AND a.as_of_date IS NOT NULL AND NOT coalesce(h.games_played = 0 AND a.games_played = 0, FALSE)""")
