@@ -188,3 +188,19 @@ def test_mixing_prefers_what_it_learned(spark):
     out = context_mixing.score(docs(spark, rows)).collect()
     assert all(r["score"] < 0 and r["n_known"] <= r["n_tokens"] for r in out)
     assert min(r["bits_per_byte"] for r in out if r["doc_id"] >= 100) > max(r["bits_per_byte"] for r in out if r["doc_id"] < 60)
+
+
+def test_mixing_shares_decisions_without_changing_them():
+    """Tokens coded together cost what each costs alone, ties, empty batches and long words included; packed counts keep their values."""
+    import numpy as np
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(2, (2, int(context_mixing._OFFSETS[-1]))).astype(np.float32)
+    model = context_mixing.Model(counts, rng.normal(0.2, 0.1, (context_mixing.GATES, len(context_mixing.TABLES))), np.zeros((context_mixing.GATES, context_mixing.MAP, 2)))
+    words = [b"the", b"then", b"the", b"th", b"a", b"an", b"x" * 70, b"x" * 24, b"x" * 23, "é".encode(), context_mixing.END, b"there", b"a", b"theb", b"thea"]
+    registers = [0, 0, 1, 0, 0, 0, 2, 2, 2, 5, 0, 1, 0, 0, 0]
+    together = model.bits(registers, words)
+    alone = [model.bits([r], [w])[0] for r, w in zip(registers, words)]
+    assert np.allclose(together, alone, rtol=1e-5) and (together > 0).all()
+    assert len(model.bits([], [])) == 0
+    part = np.array([[0, 1, 2, 3, 1000, 1e9], [0, 0, 7, 1, 5, 1e15]], np.float32)
+    assert np.allclose(context_mixing.unpack(context_mixing.pack(part)), part, rtol=2e-3)
