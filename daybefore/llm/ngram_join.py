@@ -10,8 +10,10 @@ in a subset are linked without looking at them again.  A star per subset replace
 *Large sets* scan inverted lists.  Under one global order of shingles, linked sets share one
 of their first n - ceil(4n/5) + 1, so only these are indexed.  Shingles that many documents carry are put
 last in the order (the most frequent ones, at most ``HEAVY``, so the broadcast has a fixed size;
-any fixed choice of them keeps the join exact).  Short lists give their pairs of like size at once.
-Frequent ones are scanned in two steps:
+any fixed choice of them keeps the join exact).  Short lists give their pairs of like size at once,
+with the number of shingles they share there: what lies behind the prefixes adds at most the longer
+rest, so a pair that shares too few of its first shingles is out, and long texts that merely quote
+the same passage are never compared.  Frequent lists are scanned in two steps:
 
 1. every member of a list is compared with the smallest member of its size band; links found this
    way gather groups of near copies at a cost linear in the lists;
@@ -54,8 +56,8 @@ HEAVY, FREQUENT = 1 << 18, 24
 LIST_COST, LARGEST_BOUNDARY = 3, 24
 #: A list with more members than this is treated like that of a frequent shingle.
 LONG = 48
-#: Numbers gathered by a task before it hands them on.
-FLUSH = 1 << 20
+#: Numbers gathered by a task before it hands them on; characters whose words a task holds at once.
+FLUSH, CHARACTERS = 1 << 20, 1 << 21
 #: 64-bit words of a parity sketch; 64-bit words of the filter that tells which texts to fetch.
 SKETCH, FILTER = 16, 1 << 17
 _SKETCH = [f"s{i}" for i in range(SKETCH)]
@@ -72,7 +74,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def shingles(texts: list[str]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingles of each text; all words of the batch are hashed at once."""
+    """Sorted distinct 64-bit shingles of each text."""
+    out, group, size = [], [], 0
+    for text in texts:
+        if group and size + len(text) > CHARACTERS:
+            out += _shingles(group)
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    return out + _shingles(group)
+
+
+def _shingles(texts: list[str]) -> list[np.ndarray]:
+    """As ``shingles``; the words of all texts are hashed at once."""
     split = [t.encode().translate(_FOLD).split() for t in texts]
     words = [w for s in split for w in s]
     hashes = hash_array(np.array(words, dtype=object), categorize=False) if words else np.zeros(0, np.uint64)
@@ -231,7 +245,8 @@ def prefix(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.nda
 def lists(docs: DataFrame, least: int, heavy: np.ndarray, counts: np.ndarray) -> DataFrame:
     """What the inverted lists hold, as rows (``a``, ``b``, ``shingle``).
 
-    A short list gives its pairs of like size, ``a`` and ``b``; a frequent shingle its members ``a``.
+    A short list gives its pairs of like size, ``a`` and ``b``, with ``shared``, the number of such lists
+    of the bucket that hold both; a frequent shingle gives its members ``a``.
     """
     buckets = _buckets(docs)
 
@@ -263,12 +278,15 @@ def lists(docs: DataFrame, least: int, heavy: np.ndarray, counts: np.ndarray) ->
             x = np.flatnonzero((shingle[step:] == shingle[:-step]) & ~member[step:])
             x = x[np.abs(band[x].astype(int) - band[x + step]) <= 1]
             found.append(np.stack([sid[x], sid[x + step]], axis=1))
-        both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        none = [None] * len(both)
-        return pa.table({"a": pa.array(np.r_[both[:, 0], sid[member]]), "b": pa.concat_arrays([pa.array(both[:, 1].copy()), pa.nulls(int(member.sum()), pa.int64())]),
-                         "shingle": pa.concat_arrays([pa.array(none, pa.int64()), pa.array(shingle[member].view(np.int64))])})
+        both = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        first = np.flatnonzero(np.r_[True, (both[1:] != both[:-1]).any(axis=1)][:len(both)])
+        shared, both = np.diff(np.r_[first, len(both)]), both[first]
+        none, others = pa.nulls(len(both), pa.int64()), pa.nulls(int(member.sum()), pa.int64())
+        return pa.table({"a": pa.array(np.r_[both[:, 0], sid[member]]), "b": pa.concat_arrays([pa.array(both[:, 1].copy()), others]),
+                         "shingle": pa.concat_arrays([none, pa.array(shingle[member].view(np.int64))]), "shared": pa.concat_arrays([pa.array(shared), others])})
     dealt = docs.select("text").mapInArrow(emit, "bucket int, shingles binary, sids binary, bands binary")
-    return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long, shingle long")
+    return dealt.groupBy("bucket").applyInArrow(pairs, "a long, b long, shingle long, shared long")
 
 
 def small_links(docs: DataFrame, classes: DataFrame, boundary: int) -> DataFrame:
@@ -344,17 +362,23 @@ def large_links(docs: DataFrame, classes: DataFrame, boundary: int, known: DataF
     found = stored(lists(docs, least, heavy, counts))
     marks = classes.select("sid", "n", *_SKETCH)
 
+    # shingles of a prefix whose lists gave no pairs count as shared, as far as both have such
+    unseen = found.filter("b IS NULL").groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("unseen"))
+    ends = marks.join(unseen, "sid", "left").withColumn("unseen", F.coalesce("unseen", F.lit(0)))
+
     def possible(pairs: DataFrame) -> DataFrame:
-        x, y = marks.alias("x"), marks.alias("y")
-        return (pairs.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid")).filter(may_link("x", "y")).select("a", "b"))
+        x, y = ends.alias("x"), ends.alias("y")
+        most = (F.col("shared") + F.least("x.unseen", "y.unseen") + F.ceil(F.greatest("x.n", "y.n") * 4 / 5) - 1)
+        return (pairs.join(x, F.col("a") == F.col("x.sid")).join(y, F.col("b") == F.col("y.sid"))
+                .filter(may_link("x", "y") & (F.col("shared").isNull() | (9 * most >= 4 * (F.col("x.n") + F.col("y.n"))))).select("a", "b"))
 
-    short = found.filter("b IS NOT NULL").select("a", "b").distinct()
+    short = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     rows = found.filter("b IS NULL").select("shingle", F.col("a").alias("sid")).join(marks, "sid")
     rows = stored(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")))
     hubs = rows.groupBy("shingle", "band").agg(F.min("sid").alias("hub"), F.max("sid").alias("hi")).filter("hub <> hi").drop("hi")
     stars = rows.select("shingle", "band", "sid").join(hubs, ["shingle", "band"]).filter("sid <> hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
-    asked = short.unionByName(stars).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    asked = stored(possible(asked))
+    asked = possible(short.unionByName(stars, allowMissingColumns=True))
+    asked = stored(asked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     # one pair per set first: what it connects needs no further comparison
     one = stored(asked.groupBy("a").agg(F.min("b").alias("b")))
     links = stored(known.unionByName(verified(one, docs, classes)))
