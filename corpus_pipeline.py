@@ -3,6 +3,10 @@
 Every stage is a function ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the columns of
 ``documents``.
+
+Every row gets its own decision: rows are told apart by a 64-bit digest of all their columns, so
+rows without id, or with an id that stands several times, neither share nor escape one.  Rows that agree in
+all columns are one row from the n-gram stage on.
 """
 
 from __future__ import annotations
@@ -17,14 +21,20 @@ from daybefore.llm.queries import MODEL_PATH, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``row``, a digest of all columns that tells nulls apart from what they stand beside."""
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("row"))
+
+
 def _kept(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``; rows without id stay."""
-    return docs.join(rejected.select(F.col("doc_id").alias("rejected")).distinct(), F.col("doc_id") == F.col("rejected"), "left_anti")
+    """The rows of ``docs`` whose ``row`` isn't in ``rejected``."""
+    return docs.join(rejected.select("row").distinct(), "row", "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of low quality go."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
+    docs = _keyed(docs)
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), row_col="row")
     return _kept(docs, scored.filter(F.col("predicted") == 0)).select(*COLUMNS)
 
 
@@ -36,14 +46,19 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    groups = ngram_join.components(docs)
-    return _kept(docs, groups.filter(F.col("doc_id") != F.col("component_id"))).dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near duplicates the row with the smallest id stays (rows without id come last, ties go to the smaller digest), of equal rows one."""
+    docs = _keyed(docs)
+    groups = ngram_join.components(docs, id_col="row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").cast("long").alias("id"), "row")
+    first = (docs.select("row", "doc_id").distinct().join(groups, "row").groupBy("component_id").agg(F.min(order).alias("first"))
+             .select(F.col("first.row").alias("row")))
+    return docs.dropDuplicates(["row"]).join(first, "row", "left_semi").select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated by benchmark items go."""
-    return _kept(docs, decontaminate.scan(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")).select(*COLUMNS)
+    docs = _keyed(docs)
+    return _kept(docs, decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), row_col="row").filter("contaminated")).select(*COLUMNS)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,9 +16,10 @@ from daybefore.session import checkpoint_dir
 SLICE = 512
 
 
-def document_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id`` and ``text`` alone, whatever else the table holds; a null text counts as empty."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def document_columns(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """``doc_id`` and ``text`` alone, whatever else the table holds, and the row key as ``row`` if named; a null text counts as empty."""
+    row = [F.col(row_col).cast("long").alias("row")] if row_col else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *row, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:

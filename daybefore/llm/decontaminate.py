@@ -85,6 +85,8 @@ def _spans(text: str, marks: bytearray) -> list[dict[str, int]]:
 
 
 def _pass(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], window: int, last: bool) -> DataFrame:
+    keys = [k for k in ("row", "doc_id") if k in docs.columns]
+
     def make():
         automaton = _automaton(items, window)
 
@@ -100,26 +102,27 @@ def _pass(docs: DataFrame, items: list[tuple[str | None, list[bytes]]], window:
                 rows.append((len(words), marks, sorted(found)))
             lists = pa.array([r[2] for r in rows], pa.list_(pa.string()))
             if not last:
-                return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array([bytes(r[1]) for r in rows], pa.binary()), lists],
-                                                  ["doc_id", "text", "marks", "items"])
+                return pa.RecordBatch.from_arrays([*map(batch.column, keys), batch.column("text"), pa.array([bytes(r[1]) for r in rows], pa.binary()), lists],
+                                                  [*keys, "text", "marks", "items"])
             hits = [r[1].count(1) for r in rows]
             spans = [_spans(t, r[1]) if n else [] for t, r, n in zip(texts, rows, hits)]
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array(hits, pa.int64()), lists, pa.array(spans, kind)],
-                ["doc_id", "n_words", "n_hit", "items", "spans"])
+                [*map(batch.column, keys), pa.array([r[0] for r in rows], pa.int64()), pa.array(hits, pa.int64()), lists, pa.array(spans, kind)],
+                [*keys, "n_words", "n_hit", "items", "spans"])
         return run
-    return arrow_map(docs, make, _RESULT if last else _STATE)
+    return arrow_map(docs, make, ("row long, " if "row" in keys else "") + (_RESULT if last else _STATE))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS,
-         id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Per document row: ``n_words``, ``n_hit``, ``items`` found, ``spans`` of the original text, ``contaminated``."""
+         id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+         row_col: str | None = None) -> DataFrame:
+    """Per document row (with ``row`` if named): ``n_words``, ``n_hit``, ``items`` found, ``spans`` of the original text, ``contaminated``."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, ceil(chars / (5 * shard_words)))
-    out = document_columns(docs, id_col, text_col).select("doc_id", "text", F.lit(None).cast("binary").alias("marks"),
-                                                          F.lit(None).cast("array<string>").alias("items"))
+    docs = document_columns(docs, id_col, text_col, row_col)
+    out = docs.select(*docs.columns, F.lit(None).cast("binary").alias("marks"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(shards):
         mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k).collect()  # bounded by shard_words
         split = [(r["item"], w) for r in mine if (w := words_of(r["text"]))]

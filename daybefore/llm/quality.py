@@ -60,15 +60,17 @@ def statistics(text: str) -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    keys = ["doc_id", "row"] if row_col else ["doc_id"]
+
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = [statistics(t) for t in batch.column("text").to_pylist()]
             flat = np.concatenate(x) if x else np.zeros(0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * SIZE, pa.int32()), pa.array(flat))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
+            return pa.RecordBatch.from_arrays([*map(batch.column, keys), lists], [*keys, "x"])
         return run
-    return arrow_map(document_columns(docs, id_col, text_col), make, "doc_id long, x array<double>")
+    return arrow_map(document_columns(docs, id_col, text_col, row_col), make, ", ".join(f"{k} long" for k in keys) + ", x array<double>")
 
 
 @dataclass(frozen=True)
@@ -119,16 +121,17 @@ def fit(feature_rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` for every row; each text is read once."""
-    rows = stored(features(docs, id_col, text_col))
+          threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
+    """``doc_id`` (and ``row`` if named), ``held_out``, ``score`` and ``predicted`` for every row; each text is read once."""
+    keys = ["doc_id", "row"] if row_col else ["doc_id"]
+    rows = stored(features(docs, id_col, text_col, row_col))
     model = fit(rows, labels, id_col, label_col)
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             lists = batch.column("x")
             x = np.asarray(lists.flatten()).reshape(len(lists), SIZE)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(x), pa.float64())], ["doc_id", "score"])
+            return pa.RecordBatch.from_arrays([*map(batch.column, keys), pa.array(model.scores(x), pa.float64())], [*keys, "score"])
         return run
-    out = arrow_map(rows, make, "doc_id long, score double")
-    return out.select("doc_id", held_out(F.col("doc_id"), FOLDS, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = arrow_map(rows, make, ", ".join(f"{k} long" for k in keys) + ", score double")
+    return out.select(*keys, held_out(F.col("doc_id"), FOLDS, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
