@@ -6,7 +6,7 @@ plus three scalars: its length, the inner product of its direction with its code
 product with the mean.  For a query the packed bits and the scalars give an unbiased estimate of
 every inner product and a bound on its error that holds but with a tiny probability (about
 exp(-EPSILON^2 / 2) per vector).  Only vectors whose upper bound reaches the k-th largest lower
-bound are reranked on the original vectors in double precision.
+bound of different ids are reranked on the original vectors in double precision.
 
 The index covers every row and lives in chunks of bounded size; queries form blocks of bounded size,
 and each chunk meets each block once, so no task or driver holds all of either.  Each pair
@@ -14,8 +14,8 @@ of blocks keeps its k best per query; one aggregation by query ends the search.
 
 Edge rows: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, neither do rows without id; with fewer than k candidates all are
-returned; ties go to the smaller id; repeated rows of an id are one candidate each, by their best
-score once.
+returned; ties go to the smaller id; all rows of an id, equal or not, are one candidate with their best
+score.
 """
 
 from __future__ import annotations
@@ -80,6 +80,20 @@ def _matrix(blob: bytes, size: int, kind=np.float64) -> np.ndarray:
     return np.frombuffer(blob, dtype=kind).reshape(-1, size)
 
 
+def _by_id(ids: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Largest lower bound of each different id (query x id)."""
+    order = np.argsort(ids, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    return low if len(first) == len(ids) else np.maximum.reduceat(low[:, order], first, axis=1)
+
+
+def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best different ids, each by its best row; ties go to the smaller id."""
+    order = np.lexsort((ids, -score))
+    first = np.unique(ids[order], return_index=True)[1]
+    return order[np.sort(first)[:k]]
+
+
 def _packed(rows: DataFrame, many: int, size: int) -> DataFrame:
     """Rows as (ids, vectors) blobs of at most ``many`` rows, within each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,16 +138,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
                 units = _unit(q)
                 guess, bound = estimate(_matrix(r["bits"], width, np.uint8), _matrix(r["scalars"], 3), units, center, turn, epsilon)
                 own = query_ids[:, None] == ids[None, :]
-                low = np.where(own, -np.inf, guess - bound)
-                many = min(k, len(ids))
-                needed = np.partition(low, len(ids) - many, axis=1)[:, len(ids) - many]
+                low = _by_id(ids, np.where(own, -np.inf, guess - bound))
+                at = low.shape[1] - min(k, low.shape[1])
+                needed = np.partition(low, at, axis=1)[:, at]
                 out = []
                 for j in range(len(query_ids)):
                     near = np.flatnonzero((guess[j] + bound[j] >= needed[j]) & ~own[j])
                     if len(near):
                         w = v[near]
                         score = (w @ q[j]) / (np.sqrt((w * w).sum(1)) * np.sqrt((q[j] * q[j]).sum()))
-                        best = np.lexsort((ids[near], -score))[:k]
+                        best = _best(ids[near], score, k)
                         out.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[near][best], "score": score[best]}))
                 if out:
                     yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
