@@ -1,6 +1,6 @@
 """Licence scan: whole texts looked up by the digest of a canonical form.
 
-The canonical form of a text drops copyright lines, lower-cases, turns punctuation and white space
+The canonical form of a text drops copyright clauses, lower-cases, turns punctuation and white space
 into single blanks and unifies equivalent spellings; known licences go through the same
 columns.  The digest of the whole text, and of each of its lines (short notices stand alone on a
 line), is hash-joined to the known digests.
@@ -27,8 +27,16 @@ SAME_WORDS = {
 }
 # Phrases that count as the same.
 SAME_PHRASES = {"copyright owner": "copyright holder", "sub license": "sublicense", "per cent": "percent"}
-# A line with only a copyright notice.
+# How a line with a copyright notice begins.
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright +(\(c\)|©|[0-9]|by )|\(c\) *[0-9]|© *[0-9]|all rights reserved)"
+# Words before a dot that ends no sentence; how the text that follows a copyright clause may begin, with or without a dot before it.
+ABBREVIATIONS = "inc|ltd|co|corp|llc|llp|gmbh|plc|bros|jr|sr|dr|st|mr|ms|mrs|prof|dept|univ|assoc|al|etc|no|[a-z]"
+AFTER_CLAUSE = (r"all rights reserved|permission (?:is|to) |redistribution and use|redistributions? of|licen[sc]ed (?:under|to)|(?:released|distributed|published|available|provided) under|"
+                r"dedicated to the public|this (?:work|program|software|file|library|project|code|document|product|source|package|module) |spdx-licen[sc]e|"
+                r"use of this |(?:see|subject to) (?:the|license|licence|file|copying) ?|under the ")
+#: The clauses a line begins with: holders and years up to the end of the sentence, before such a beginning, or to the end of the line.
+COPYRIGHT_CLAUSES = (r"^(?:[^a-z0-9]*(?:all rights reserved[.!]*|(?:copyright +(?:\(c\)|©|[0-9]|by )|\(c\) *[0-9]|© *[0-9])"
+                     rf".*?(?:(?=\b(?:{AFTER_CLAUSE}))|(?<!\b(?:{ABBREVIATIONS}|[0-9]{{1,12}}))[.!?](?=[\s\"')\]]|$)|$)))+")
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # Published licence texts and notices.
@@ -67,8 +75,8 @@ DAMAGE.""",
 
 
 def canonical_lines(text: Column) -> Column:
-    """The text's lines in canonical form, copyright lines and empty lines left out."""
-    own = F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(COPYRIGHT_LINE))
+    """The text's lines in canonical form, copyright clauses and empty lines left out; what follows a clause on its line stays."""
+    own = F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSES, "")).otherwise(x))
     plain = F.split(F.regexp_replace(F.array_join(own, "\n"), PUNCTUATION, " "), "\n")
     same = F.create_map(*[F.lit(w) for pair in SAME_WORDS.items() for w in pair])
 
