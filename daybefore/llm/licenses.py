@@ -11,6 +11,9 @@ equal known texts are all reported; rows with the same id and canonical text sha
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +42,7 @@ COPYRIGHT_CLAUSES = (r"^(?:[^a-z0-9]*(?:all rights reserved[.!]*|(?:copyright +(
                      rf".*?(?:(?=\b(?:{AFTER_CLAUSE}))|(?<!\b(?:{ABBREVIATIONS}|[0-9]{{1,12}}))[.!?](?=[\s\"')\]]|$)|$)))+")
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Published licence texts and notices.
+# Published licence texts and notices, also listed by the SQL twin; ``known_texts`` has more.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
@@ -74,6 +77,53 @@ DAMAGE.""",
 }
 
 
+#: By licence, the names that notices and title lines use.
+NAMES = {
+    "MIT": ["MIT License", "MIT License (MIT)", "MIT", "Expat License"], "ISC": ["ISC License", "ISC License (ISC)", "ISC"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License"],
+    "Unlicense": ["Unlicense"], "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"], "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0"],
+    **{f"{short}-{v}": [f"GNU {long}, version {v.removesuffix('.0')}", f"GNU {long} version {v}", f"GNU {long} v{v}", f"GNU {long} v{v.removesuffix('.0')}", f"GNU {short} v{v.removesuffix('.0')}", f"{short}v{v.removesuffix('.0')}", f"{short} {v}"]
+       for short, long, versions in (("GPL", "General Public License", ("1.0", "2.0", "3.0")), ("LGPL", "Lesser General Public License", ("2.1", "3.0")), ("LGPL", "Library General Public License", ("2.0",)),
+                                     ("AGPL", "Affero General Public License", ("3.0",)), ("GFDL", "Free Documentation License", ("1.2", "1.3"))) for v in versions},
+    **{f"CC-{code}-{v}": [f"CC {code} {v}", f"CC-{code}-{v}", f"Creative Commons {words} {v} International License", f"Creative Commons {words} {v} International", f"Creative Commons {words} {v}"]
+       for code, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"),
+                           ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")) for v in ("3.0", "4.0")},
+    "CC0-1.0": ["CC0 1.0 Universal", "CC0 1.0", "Creative Commons CC0 1.0 Universal"],
+}
+OPENINGS = ["Licensed under", "Released under", "Distributed under", "Available under", "Published under",
+            *(f"This {w} is {v} under" for w in ("work", "software", "project", "program", "file") for v in ("licensed", "released", "distributed"))]
+#: Whole published texts, one file each.
+PUBLISHED = Path(__file__).with_name("published_licenses")
+#: Where the terms end and advice on their use begins; what users of the Apache licence fill in.
+ADVICE = re.compile(r"(?im)(?<=end of terms and conditions)\s.*\Z|^\s*addendum: how to use this license.*\Z|^exhibit a - source code form license notice.*\Z", re.S)
+TO_FILL_IN = re.compile(r"(?im)^\s*copyright \[yyyy\].*\n")
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of whole texts, with and without title and closing advice, and of notices under the licences' names."""
+    out = list(KNOWN.items())
+    whole = [(k, t) for k, t in KNOWN.items() if not k.endswith("-notice")] + [(p.stem.removesuffix("-UC"), p.read_text(encoding="utf-8")) for p in sorted(PUBLISHED.glob("*.txt"))]
+    for name, text in whole:
+        if name.startswith("BSD-"):  # clauses are numbered or bulleted
+            number = iter(range(1, 9))
+            kinds = [text, re.sub(r"(?m)^ *(?:[*-]|[1-9][.)]) ", "* ", text), re.sub(r"(?m)^ *(?:[*-]|[1-9][.)]) ", lambda m: f"{next(number)}. ", text)]
+        else:
+            kinds = [text]
+        forms = {f for t in kinds for f in (t, TO_FILL_IN.sub("", t), ADVICE.sub("", t))}
+        out += [(name, form) for form in sorted(forms)]
+        if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Unlicense"):  # published without a title, often found with one
+            titles = [name, *NAMES[name]]
+            for body in (re.sub(r"\A\s*BSD 3-Clause License\s*\n", "", t) for t in kinds):
+                out += [(name, form) for form in [body, *(f"{the}{title}\n{body}" for title in titles for the in ("", "The "))]]
+    for name, names in NAMES.items():
+        out += [(f"{name}-notice", f"{opening} {the}{n}") for opening in OPENINGS for n in names for the in ("", "the ")]
+        out.append((f"{name}-notice", f"SPDX-License-Identifier: {name}"))
+    return list(dict.fromkeys(out))
+
+
 def canonical_lines(text: Column) -> Column:
     """The text's lines in canonical form, copyright clauses and empty lines left out; what follows a clause on its line stays."""
     own = F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSES, "")).otherwise(x))
@@ -89,7 +139,7 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN.items()), "license string, text string")
+    return spark.createDataFrame(known_texts(), "license string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
