@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybefore.llm import context_mixing, decontaminate, fixity, licenses, line_dedup, ngram_join, one_bit_search, pii, quality, sentencepiece_bpe
+from daybefore.llm import (collocations, context_mixing, decontaminate, fixity, html_extraction, lexical_search, licenses, line_dedup, ngram_join, one_bit_search, pii, quality,
+                           sentencepiece_bpe)
 
 #: The tokenizer file; a parameter of the deployment, never copied here.
 MODEL_PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -183,5 +184,53 @@ def op10_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one_bit_search.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fixity, op4_sentencepiece, op5_ngram_join, op6_context_mixing, op7_quality, op8_line_dedup, op9_licenses, op10_one_bit_search)}
-SQL = {"op2_decontamination": OP2_SQL, "op3_fixity": OP3_SQL, "op5_ngram_join": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL}
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM w, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, g, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, g, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND f >= {collocations.MIN_COUNT}),
+s AS (SELECT c.lang, c.g, c.k, c.a, cut, x.f AS l, y.f AS r, (CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS score FROM c
+      JOIN f x ON x.lang = c.lang AND x.k = cut AND x.g = array_to_string(string_split(c.g, ' ')[1:cut], ' ')
+      JOIN f y ON y.lang = c.lang AND y.k = c.k - cut AND y.g = array_to_string(string_split(c.g, ' ')[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+e AS (SELECT lang, g, max(a) AS a FROM (SELECT lang, a, array_to_string(string_split(g, ' ')[1:2], ' ') AS g FROM b WHERE k = 3
+      UNION ALL SELECT lang, a, array_to_string(string_split(g, ' ')[2:3], ' ') FROM b WHERE k = 3) GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.g) AS rank FROM b LEFT JOIN e ON e.lang = b.lang AND e.g = b.g AND b.k = 2
+      WHERE e.a IS NULL OR 100 * e.a < 50 * b.a)
+SELECT lang, CAST(rank AS INT) AS rank, g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM z JOIN t USING (lang) WHERE rank <= {collocations.TOP}
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS2} AS w FROM documents),
+t AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM d) GROUP BY ALL),
+c AS (SELECT count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, item, unnest({_WORDS2}) AS t FROM (SELECT DISTINCT item_id, text, text AS item FROM benchmark)),
+v AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(c.n) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM t, c WHERE t IN (SELECT t FROM i) GROUP BY t),
+m AS (SELECT rid, doc_id, 50 + (50 * len(w) * c.n) // c.l AS m FROM d, c WHERE len(w) > 0),
+s AS (SELECT i.item_id, i.item, m.rid, m.doc_id, CAST(sum(v.weight * ((1000000000 * t.tf) // (1000 * t.tf + 20 * m.m))) AS BIGINT) AS score
+      FROM i JOIN v USING (t) JOIN t USING (t) JOIN m ON m.rid = t.rid GROUP BY ALL),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id, item ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM z WHERE rank <= {lexical_search.K}
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_fixity, op4_sentencepiece, op5_ngram_join, op6_context_mixing, op7_quality, op8_line_dedup, op9_licenses,
+                                   op10_one_bit_search, op11_html_extraction, op12_collocations, op13_lexical_search)}
+SQL = {"op2_decontamination": OP2_SQL, "op3_fixity": OP3_SQL, "op5_ngram_join": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_licenses": OP9_SQL, "op12_collocations": OP12_SQL,
+       "op13_lexical_search": OP13_SQL}
