@@ -87,6 +87,15 @@ def _(v):
     return scans.parsed_clock(rows)
 
 
+@query("skater_scan", "S6 F1", "player_id game_id toi_sec:d date:t season", "games", """
+SELECT e.user_id AS player_id, e.event_id AS game_id,
+       CASE WHEN event_id % 37 = 0 OR event_id % 41 = 0 THEN 0 ELSE 600 + (event_id * 13) % 900 END AS toi_sec, g.date, g.season
+FROM events e LEFT JOIN games g ON g.id = e.event_id""")
+def _(v):
+    rows = v.table("events").selectExpr("user_id AS player_id", "event_id AS game_id", _CLOCK.format(t="BIGINT") + " AS toi")
+    return scans.skater_scan(rows, v.games)
+
+
 @query("shot_events", "S7 J9", "game_id sort_order type_key:s season", "play playgame", """
 SELECT p.game_id, p.sort_order, p.type_key, g.season FROM play p JOIN playgame g ON g.game_id = p.game_id
 WHERE p.type_key IN ('shot-on-goal', 'goal')""")
@@ -283,7 +292,7 @@ def _(v):
     second = v.pred.where("season >= 1999").withColumn("p", F.col("p") + 1)
     for batch in (first, second, second):  # the rerun must change nothing
         store.upsert(path, batch.select("match_id", "season", "p"), ["match_id"], ["p"], "season")
-    return v.spark.read.parquet(path)
+    return store.read(v.spark, path)
 
 
 @query("upsert_dry_run", "S21", "n", "pred", "SELECT count(*) AS n FROM pred")

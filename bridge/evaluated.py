@@ -10,7 +10,7 @@ from bridge.basic import _DEVIG
 from bridge.registry import query
 from bridge.views import SQL
 from daybefore.functions import scores
-from daybefore.operators import market, metrics
+from daybefore.operators import isotonic, market, metrics
 from daybefore.plans import backtest, ml
 
 # ---- score distribution -----------------------------------------------------------------------
@@ -72,13 +72,13 @@ FROM ({_DIFF}) c JOIN bounded b ON b.match_id = c.match_id GROUP BY c.match_id""
 
 @query("ranked_probability_score", "A19", "match_id rps:d", "rps", "SELECT * FROM rps")
 def _(v):
-    return scores.score_quality(_dist(v), "home_score", "away_score")
+    return scores.score_quality(v.rate, "home_score", "away_score")
 
 
 @query("exact_score_rate", "A20 M12", "season n mean_rps:d", "rps bounded", """
 SELECT b.season, count(*) AS n, avg(r.rps) AS mean_rps FROM rps r JOIN bounded b ON b.match_id = r.match_id GROUP BY b.season""")
 def _(v):
-    q = scores.score_quality(_dist(v), "home_score", "away_score")
+    q = scores.score_quality(v.rate, "home_score", "away_score")
     return q.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.avg("rps").alias("mean_rps"))
 
 
@@ -90,7 +90,7 @@ SELECT match_id, i, j FROM (SELECT *, row_number() OVER (PARTITION BY match_id O
 SELECT b.season, sum(CASE WHEN t.i = b.home_score AND t.j = b.away_score THEN 1 ELSE 0 END) AS hits
 FROM top t JOIN bounded b ON b.match_id = t.match_id GROUP BY b.season""")
 def _(v):
-    q = scores.score_quality(_dist(v), "home_score", "away_score")
+    q = scores.score_quality(v.rate, "home_score", "away_score")
     return q.groupBy("season").agg(F.sum("exact_hit").alias("hits"))
 
 
@@ -166,6 +166,36 @@ def _(v):
     return backtest.fold_metrics(v.pred, "p", "y")[1]
 
 
+# margins far outside [0, 1], nine tenths of them equal
+SQL["margin"] = ("pred", """
+SELECT match_id, season, y, CASE WHEN match_id % 10 <> 0 THEN CAST(0 AS DOUBLE) ELSE (match_id * 37 % 1009) * CAST(12345.5 AS DOUBLE) - 6000000 END AS s FROM pred""")
+
+
+@query("margin_ranking", "A15 A24", "season roc_auc:d", "margin", """
+SELECT season, (rs - np * (np + 1) / 2) / (np * (n - np)) AS roc_auc FROM (
+  SELECT season, count(*) AS n, CAST(sum(y) AS DOUBLE) AS np, sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS rs FROM (
+    SELECT *, rank() OVER (PARTITION BY season ORDER BY s) + (count(*) OVER (PARTITION BY season, s) - 1) / CAST(2 AS DOUBLE) AS rk FROM margin) k GROUP BY season) x""")
+def _(v):
+    tied = F.col("match_id") % 10 != 0
+    rows = v.pred.withColumn("s", F.when(tied, F.lit(0.0)).otherwise((F.col("match_id") * 37 % 1009) * 12345.5 - 6000000))
+    return metrics.auc(rows, "s", "y", ["season"])
+
+
+# the fit at a score is the largest, over starts before it, of the least mean up to ends after it
+SQL["isosums"] = ("pred", """
+SELECT p, n, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS w, sum(t) OVER (ORDER BY p) AS s, n AS own, t FROM (
+  SELECT p, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS t FROM pred GROUP BY p) g""")
+
+
+@query("isotonic_calibration", "L3 L9", "p:d n fitted:d", "isosums", """
+SELECT p, n, max(least_mean) AS fitted FROM (
+  SELECT b.p, b.n, a.i, min((c.s - a.s + a.t) / (c.w - a.w + a.own)) AS least_mean
+  FROM isosums b JOIN isosums a ON a.i <= b.i JOIN isosums c ON c.i >= b.i GROUP BY b.p, b.n, a.i) x GROUP BY p, n""")
+def _(v):
+    fit = isotonic.fit_isotonic(v.pred, "p", "y")
+    return v.pred.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("fitted", fit.apply(F.col("p")))
+
+
 @query("walk_forward_folds", "M11", "season n_train n_test", "pred", """
 SELECT season, n_train, n_test FROM (
   SELECT season, n AS n_test, coalesce(sum(n) OVER (ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n_train,
@@ -273,24 +303,31 @@ SELECT s.*, q.opening_home_prob AS op, q.closing_home_prob AS cp, s.home_win_pro
 FROM served s LEFT JOIN quoted q ON q.game_id = s.game_id""")
 
 
-@query("market_benchmark", "M10 J17 F13 F14", "game_id model_version:s model_home_win_prob:d market_open_home_prob:d "
-       "market_close_home_prob:d edge_vs_open:d edge_vs_close:d clv_log_edge:d home_win_outcome brier:d log_loss:d", "bench", """
+BENCH = ("game_id model_version:s model_home_win_prob:d market_open_home_prob:d "
+         "market_close_home_prob:d edge_vs_open:d edge_vs_close:d clv_log_edge:d home_win_outcome brier:d log_loss:d")
+BENCH_SQL = """
 SELECT game_id, model_version, home_win_probability AS model_home_win_prob, op AS market_open_home_prob, cp AS market_close_home_prob,
-       edge_vs_open, edge_vs_close, clv_log_edge, home_win_outcome, brier, log_loss FROM bench""")
+       edge_vs_open, edge_vs_close, clv_log_edge, home_win_outcome, brier, log_loss FROM bench"""
+
+
+@query("market_benchmark", "M10 J17 F13 F14", BENCH, "bench", BENCH_SQL)
 def _(v):
     return market.market_benchmark(v.served, market.normalize_odds(v.odds, "quote_id"))
 
 
-_DAILY = ("date:t feature_version:s model_version:s n_games n_with_closing_odds n_with_outcomes mean_edge_vs_close:d "
-          "mean_clv_log_edge:d model_brier:d model_log_loss:d market_closing_brier:d market_closing_log_loss:d")
+DAILY = ("date:t feature_version:s model_version:s n_games n_with_closing_odds n_with_outcomes mean_edge_vs_close:d "
+         "mean_clv_log_edge:d model_brier:d model_log_loss:d market_closing_brier:d market_closing_log_loss:d")
 
 
-@query("market_benchmark_daily", "A17 M10", _DAILY, "bench", f"""
+DAILY_SQL = f"""
 SELECT date, feature_version, model_version, count(*) AS n_games, count(cp) AS n_with_closing_odds, count(home_win_outcome) AS n_with_outcomes,
        avg(edge_vs_close) AS mean_edge_vs_close, avg(clv_log_edge) AS mean_clv_log_edge, avg(brier) AS model_brier, avg(log_loss) AS model_log_loss,
        avg((cp - home_win_outcome) * (cp - home_win_outcome)) AS market_closing_brier,
        avg(CASE WHEN cp IS NOT NULL THEN {_ll('cp')} END) AS market_closing_log_loss
-FROM bench GROUP BY date, feature_version, model_version""")
+FROM bench GROUP BY date, feature_version, model_version"""
+
+
+@query("market_benchmark_daily", "A17 M10", DAILY, "bench", DAILY_SQL)
 def _(v):
     return market.market_benchmark_daily(market.market_benchmark(v.served, market.normalize_odds(v.odds, "quote_id")))
 

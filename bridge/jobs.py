@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bridge.basic import _store_path
+from bridge.evaluated import BENCH, BENCH_SQL, DAILY, DAILY_SQL
 from bridge.feature_sql import feature_columns, features_sql, side_sql
 from bridge.registry import query
 from bridge.timed import _mean
 from bridge.views import SQL
+from daybefore.operators import market
 from daybefore.operators.rolling import rolling_mean_prior, sides
 from daybefore.plans import backtest, materialize, ml, serve
-from daybefore.plans.columns import (EVENT_FEATURES, FEATURES, GOALIE_STRENGTHS, LEAN, LINEUP, PLAYER_FEATURES, SERIES,
-                                     SHARES, STORE_CONTRACT, TEAM_STRENGTHS)
+from daybefore.plans.columns import (DAILY_KEYS, EVENT_FEATURES, FEATURES, GOALIE_STRENGTHS, LEAN, LINEUP, PLAYER_FEATURES, SERIES,
+                                     SERVING_KEYS, SHARES, STORE_CONTRACT, TEAM_STRENGTHS)
 from daybefore.plans.features import attach_series, build_features, game_spine
-from daybefore.sources import scans
+from daybefore.sources import scans, store
 
 # ---- flagship ---------------------------------------------------------------------------------
 
@@ -155,21 +157,71 @@ def _(v):
     return serve.serving_rows(v.games, rated, "v2.3", "goals", "2026-01-01T00:00:00")
 
 
-@query("prediction_records", "M15 F22 P9", "game_id game_date:s home_win_prob:d away_win_prob:d predicted_winner_team_id "
-       "model_versions:s input_snapshot:s status:s", "games pred", """
+_RECORDS = ("game_id game_date:s home_win_prob:d away_win_prob:d predicted_winner_team_id "
+            "model_versions:s input_snapshot:s status:s")
+_RECORDS_SQL = """
 SELECT id AS game_id, strftime(date, '%Y-%m-%d') AS game_date, p AS home_win_prob, 1 - p AS away_win_prob,
        CASE WHEN p > 0.5 THEN home_team_id ELSE away_team_id END AS predicted_winner_team_id,
        '{"win_model":"win","score_model":"debug_fallback","decision_threshold":0.5}' AS model_versions,
        concat('{"game_id":', id, ',"game_date":"', strftime(date, '%Y-%m-%d'), '","game_type":', game_type, ',"home_team_id":', home_team_id,
               ',"away_team_id":', away_team_id, ',"home_goalie_id":null,"away_goalie_id":null}') AS input_snapshot, 'ok' AS status
-FROM games g JOIN pred p ON p.match_id = g.id""")
-def _(v):
+FROM games g JOIN pred p ON p.match_id = g.id"""
+
+
+def _predicted(v):
     p = v.games.join(v.pred.select(F.col("match_id").alias("id"), F.col("p").alias("home_prob")), "id")
-    p = p.select(F.col("id").alias("game_id"), "date", "game_type", "home_team_id", "away_team_id", "home_prob",
+    return p.select(F.col("id").alias("game_id"), "date", "game_type", "home_team_id", "away_team_id", "home_prob",
                  (1 - F.col("home_prob")).alias("away_prob"), F.lit(3.0).alias("home_gf"), F.lit(2.5).alias("away_gf"),
                  F.when(F.col("home_prob") > 0.5, F.col("home_team_id")).otherwise(F.col("away_team_id")).alias("winner_team_id"),
                  F.lit(0.5).alias("threshold"), F.lit("win").alias("model_name"), F.lit("debug_fallback").alias("score_model_name"))
-    return serve.prediction_records(p)
+
+
+@query("prediction_records", "M15 F22 P9", _RECORDS, "games pred", _RECORDS_SQL)
+def _(v):
+    return serve.prediction_records(_predicted(v))
+
+
+@query("written_predictions", "S20 S21 M15", _RECORDS, "games pred", _RECORDS_SQL)
+def _(v):
+    """Half of the records first, then all of them over wrong ones, twice, and a dry run that writes nothing."""
+    path, rows = _store_path(v, "records"), _predicted(v)
+    serve.write_predictions(rows.where("game_id % 2 = 0").withColumn("home_prob", F.lit(0.25)), path)
+    for _ in range(2):
+        n = serve.write_predictions(rows, path)
+    serve.write_predictions(rows.withColumn("home_prob", F.lit(0.75)), path, dry_run=True)
+    return store.read(v.spark, path).where(F.lit(n) == rows.count())
+
+
+def _committed(v):
+    """Predictions, benchmarks and daily rows in one store: a wrong commit, a dead one, then the right one twice."""
+    path = _store_path(v, "serving")
+    bench = _cut(market.market_benchmark(v.served, market.normalize_odds(v.odds, "quote_id")))
+
+    def writes(rows):
+        tables = {"predictions": (v.served, SERVING_KEYS, "prediction_date"), "benchmarks": (rows, [k for k in SERVING_KEYS if k in rows.columns], "date"),
+                  "benchmarks_daily": (market.market_benchmark_daily(rows), DAILY_KEYS, "date")}
+        return {name: store.Write(df.withColumn("year", F.year(day)), keys, [day], "year") for name, (df, keys, day) in tables.items()}
+    store.commit(v.spark, path, writes(bench.withColumn("brier", F.col("brier") + 1)))
+    failing = writes(bench.withColumn("brier", F.raise_error(F.lit("the run dies")).cast("double")))
+    try:
+        store.commit(v.spark, path, failing)
+        raise AssertionError("the run should have died")
+    except Exception as exc:
+        if "the run dies" not in str(exc):
+            raise
+    for _ in range(2):
+        store.commit(v.spark, path, writes(bench))
+    return path
+
+
+@query("committed_benchmarks", "S20 S18 M8", BENCH, "bench", BENCH_SQL)
+def _(v):
+    return store.read(v.spark, _committed(v), "benchmarks")
+
+
+@query("committed_daily", "S20 S18 M8", DAILY, "bench", DAILY_SQL)
+def _(v):
+    return store.read(v.spark, _committed(v), "benchmarks_daily")
 
 
 # ---- training and evaluation (no SQL form) ----------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from daybefore.operators.daystate import DAY, day_end_state
 from daybefore.operators.rolling import sides
 from daybefore.plans.columns import SHARES, SKATER_STATS, TEAM_STATS
+from daybefore.session import written
 from daybefore.sources.context import Context
 
 _MATCH = """
@@ -341,8 +342,9 @@ class Views:
 
     @cached_property
     def context(self) -> Context:
-        return Context(self.games, self.standings, self.goalies, self.gvals, self.tstats, self.shares,
-                       self.skaters).normalised()
+        """The seven tables; the two that are aggregates here are written first, as they are stored tables elsewhere."""
+        return Context(self.games, written(self.standings), self.goalies, self.gvals, self.tstats, self.shares,
+                       written(self.skaters)).normalised()
 
 
 __all__ = ["SQL", "Views", "ctes", "SHARES", "SKATER_STATS", "TEAM_STATS", "sides"]

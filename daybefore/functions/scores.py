@@ -40,39 +40,45 @@ _DIST = ("grid array<double>, p_home_win double, p_away_win double, p_tie double
          "expected_away double, top int")
 
 
-def _distribution(max_goals: int):
-    """Vectorised over an Arrow batch: one numpy row per input row.
+def _cells(lh: pd.Series, la: pd.Series, l3: pd.Series, max_goals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Joint mass per row, flat and home-major, and which rows lack a rate.
 
     Rows of the grid follow from each other: ``i P(i,j) = r1 P(i-1,j) + r3 P(i-1,j-1)``.
     """
     n = max_goals + 1
+    h, a, s = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (lh, la, l3))
+    missing = np.isnan(h) | np.isnan(a) | np.isnan(s)
+    h, a = np.maximum(h, EPS), np.maximum(a, EPS)
+    s = np.minimum(np.maximum(s, 0.0), np.maximum(np.minimum(h, a) - EPS, 0.0))
+    s = np.where(s <= EPS, 0.0, s)
+    r1, r2 = np.maximum(h - s, EPS), np.maximum(a - s, EPS)
+    g = np.zeros((len(h), n, n))
+    g[:, 0, 0] = np.exp(-(r1 + r2 + s))
+    for j in range(1, n):
+        g[:, 0, j] = g[:, 0, j - 1] * r2 / j
+    for i in range(1, n):
+        g[:, i, :] = r1[:, None] * g[:, i - 1, :]
+        g[:, i, 1:] += s[:, None] * g[:, i - 1, :-1]
+        g[:, i, :] /= i
+    total = g.sum(axis=(1, 2))
+    empty = ~(total > 0) & ~missing
+    g[empty] = 0.0
+    g[empty, 0, 0] = 1.0
+    g /= np.where(total > 0, total, 1.0)[:, None, None]
+    return g.reshape(len(h), n * n), missing
+
+
+def _distribution(max_goals: int):
+    """Vectorised over an Arrow batch: one numpy row per input row."""
+    n = max_goals + 1
 
     def run(lh: pd.Series, la: pd.Series, l3: pd.Series) -> pd.DataFrame:
-        h, a, s = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (lh, la, l3))
-        missing = np.isnan(h) | np.isnan(a) | np.isnan(s)
-        h, a = np.maximum(h, EPS), np.maximum(a, EPS)
-        s = np.minimum(np.maximum(s, 0.0), np.maximum(np.minimum(h, a) - EPS, 0.0))
-        s = np.where(s <= EPS, 0.0, s)
-        r1, r2 = np.maximum(h - s, EPS), np.maximum(a - s, EPS)
-        g = np.zeros((len(h), n, n))
-        g[:, 0, 0] = np.exp(-(r1 + r2 + s))
-        for j in range(1, n):
-            g[:, 0, j] = g[:, 0, j - 1] * r2 / j
-        for i in range(1, n):
-            g[:, i, :] = r1[:, None] * g[:, i - 1, :]
-            g[:, i, 1:] += s[:, None] * g[:, i - 1, :-1]
-            g[:, i, :] /= i
-        total = g.sum(axis=(1, 2))
-        empty = ~(total > 0) & ~missing
-        g[empty] = 0.0
-        g[empty, 0, 0] = 1.0
-        g /= np.where(total > 0, total, 1.0)[:, None, None]
-        flat = g.reshape(len(h), n * n)
+        flat, missing = _cells(lh, la, l3, max_goals)
         i, j = (x.ravel() for x in np.indices((n, n)))
         read = flat @ np.stack([i > j, i < j, i == j, i, j], axis=1).astype("float64")
         out = pd.DataFrame(read, columns=["p_home_win", "p_away_win", "p_tie", "expected_home", "expected_away"])
         out.insert(0, "grid", list(flat))
-        out["top"] = pd.Series(flat.argmax(axis=1) if len(h) else [], dtype="Int32")
+        out["top"] = pd.Series(flat.argmax(axis=1) if len(flat) else [], dtype="Int32")
         if missing.any():
             out.loc[missing, out.columns[1:]] = None
             out.loc[missing, "grid"] = None
@@ -102,28 +108,31 @@ def score_distribution(df: DataFrame, lh: str, la: str, l3: str, max_goals: int
         (F.col("_d.top") % n).cast("int").alias("most_likely_away"))
 
 
-def score_quality(df: DataFrame, home_score: str, away_score: str, max_goals: int = MAX_GOALS) -> DataFrame:
-    """Add ``rps`` (ranked probability score of the goal difference) and ``exact_hit``."""
+def _quality(max_goals: int):
+    """Ranked probability score and exact hit from rates and result; the grid stays in the batch."""
     n = max_goals + 1
-    hs, as_ = F.col(home_score).cast("int"), F.col(away_score).cast("int")
-    actual = F.greatest(F.least(hs - as_, F.lit(max_goals)), F.lit(-max_goals))
-    diffs = list(range(-max_goals, max_goals + 1))
-    running, out = None, df.withColumn("_actual", actual)
-    cols: dict[int, str] = {}
-    for d in diffs:  # running mass up to each difference
-        mass = sum((F.get("grid", i * n + i - d) for i in range(max(d, 0), min(d + max_goals, max_goals) + 1)), F.lit(0.0))
-        cols[d] = f"_m{d + max_goals}"
-        out = out.withColumn(cols[d], mass if running is None else F.col(running) + mass)
-        running = cols[d]
-    z = F.greatest(F.col(running), F.lit(1e-12))
-
-    def gap(d: int) -> Column:
-        g = F.col(cols[d]) / z - (F.col("_actual") <= d).cast("double")
-        return g * g
-
-    rps = sum((gap(d) for d in diffs), F.lit(0.0)) / (2.0 * max_goals)
-    hit = (F.col("most_likely_home") == hs) & (F.col("most_likely_away") == as_)
-    return out.withColumns({"rps": rps, "exact_hit": hit.cast("double")}).drop("_actual", *cols.values())
+
+    def run(lh: pd.Series, la: pd.Series, l3: pd.Series, hs: pd.Series, as_: pd.Series) -> pd.DataFrame:
+        flat, missing = _cells(lh, la, l3, max_goals)
+        i, j = (x.ravel() for x in np.indices((n, n)))
+        diffs = np.arange(-max_goals, max_goals + 1)
+        upto = flat @ ((i - j)[:, None] <= diffs).astype("float64")  # mass up to each goal difference
+        home, away = (x.to_numpy(dtype="float64", na_value=np.nan) for x in (hs, as_))
+        missing = missing | np.isnan(home) | np.isnan(away)
+        actual = np.clip(np.where(missing, 0.0, home - away), -max_goals, max_goals)
+        gap = upto / np.maximum(upto[:, -1:], 1e-12) - (actual[:, None] <= diffs)
+        top = flat.argmax(axis=1) if len(flat) else np.zeros(0, int)
+        hit = (top // n == home) & (top % n == away)
+        return pd.DataFrame({"rps": np.where(missing, np.nan, (gap * gap).sum(axis=1) / (2.0 * max_goals)),
+                             "exact_hit": np.where(missing, np.nan, hit.astype("float64"))})  # NaN becomes NULL
+    return F.pandas_udf(run, "rps double, exact_hit double")
+
+
+def score_quality(df: DataFrame, home_score: str, away_score: str, max_goals: int = MAX_GOALS,
+                  rates: tuple[str, str, str] = ("lambda_home", "lambda_away", "lambda3")) -> DataFrame:
+    """Add ``rps`` (ranked probability score of the goal difference) and ``exact_hit``, from the rates; NULL without rates or result."""
+    rows = df.withColumn("_q", _quality(max_goals)(*[F.col(c).cast("double") for c in rates], F.col(home_score).cast("int"), F.col(away_score).cast("int")))
+    return rows.select(*df.columns, F.col("_q.rps").alias("rps"), F.col("_q.exact_hit").alias("exact_hit"))
 
 
 def series_probability(df: DataFrame, p_home_a: str, p_home_b: str, pattern: str = "AABBABA",

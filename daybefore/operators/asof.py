@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,64 @@ from pyspark.sql import functions as F
 from daybefore.operators.daystate import DAY, attach, days_of, last_rows_per_day
 
 
+@dataclass(frozen=True)
+class Source:
+    """Rows of one history for :func:`asof_merge`.
+
+    The state after a day is the last row of that day by ``order`` (then by the values), or ``exprs`` over
+    windows that end there: ``exprs(value, recent, all)`` gets a function from a column name to its
+    value, the window of the last ``n`` rows, and that of all rows kept (``n`` a day).
+    """
+
+    rows: DataFrame
+    time: str
+    values: Sequence[str]
+    order: str | None = None
+    n: int = 1
+    exprs: Callable[[Callable[[str], Column], Window, Window], dict[str, Column]] | None = None
+
+
+def asof_merge(asked: DataFrame, keys: Sequence[str], sources: Sequence[Source], day: str = DAY) -> DataFrame:
+    """Add to each asked row the state of every source of its key before the row's day.
+
+    All sources go as (key, day, number of the source, values) into one union.  One shuffle by key and day,
+    behind Spark's group limit, keeps the last rows of a day; a second by key brings them
+    together with the asked rows, which carry all their columns along, so nothing is joined back.  There
+    the rows of a key are sorted once for the windows and once for the carry, which keeps one state per
+    source.  A key's part of the second shuffle is its days, whatever number of rows it has.
+    """
+    sizes = [s.n for s in sources]
+    rows = None
+    for i, s in enumerate(sources):
+        order = F.col(s.order).cast("long") if s.order else F.lit(None).cast("long")
+        known = s.rows.dropna(subset=[*keys, s.time])  # a row without key or date is nobody's state
+        one = known.select(*keys, F.col(s.time).cast("date").alias("_t"), F.lit(i).alias("_tag"), order.alias("_ord"),
+                                                           F.struct(*s.values).alias(f"_v{i}"))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+    structs = [f"_v{i}" for i in range(len(sources))]
+    last = Window.partitionBy(*keys, "_tag", "_t").orderBy(F.col("_ord").desc(), *[F.col(v).desc() for v in structs])
+    rows = rows.withColumn("_rn", F.row_number().over(last)).where(F.col("_rn") <= max(sizes))
+    if len(set(sizes)) > 1:
+        rows = rows.where(F.col("_rn") <= F.element_at(F.array(*map(F.lit, sizes)), F.col("_tag") + 1))
+    asks = asked.select(*keys, F.col(day).alias("_t"), F.struct(*[F.col(c) for c in asked.columns]).alias("_asked"))
+    both = rows.unionByName(asks, allowMissingColumns=True).repartition(*keys)
+    whole = Window.partitionBy(*keys, "_tag").orderBy("_t", F.col("_rn").desc())
+    states = {}
+    for i, s in enumerate(sources):
+        def value(c, v=f"_v{i}"):
+            return F.col(v)[c]
+        made = {c: value(c) for c in s.values} if s.exprs is None else s.exprs(
+            value, whole.rowsBetween(-(s.n - 1), 0), whole.rowsBetween(Window.unboundedPreceding, 0))
+        states[f"_s{i}"] = (F.struct(*[e.alias(c) for c, e in made.items()]), list(made))
+    both = both.select(*keys, "_t", "_tag", "_rn", "_asked", *[e.alias(n) for n, (e, _) in states.items()])
+    seen = F.col("_asked").isNull()
+    carry = Window.partitionBy(*keys).orderBy("_t", seen.cast("int")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select("_asked", *[F.last(F.when((F.col("_tag") == i) & (F.col("_rn") == 1), F.col(n)), ignorenulls=True).over(carry).alias(n)
+                                    for i, n in enumerate(states)])
+    return found.where(F.col("_asked").isNotNull()).select(
+        "_asked.*", *[F.col(n)[c].alias(c) for n, (_, cols) in states.items() for c in cols])
+
+
 def asof_lookups(spine_days: DataFrame, states: Sequence[DataFrame], keys: Sequence[str],
                  inclusive: bool = False) -> DataFrame:
     """Latest state of the key before (or on) each spine day, from each of several state tables.

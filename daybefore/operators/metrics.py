@@ -13,6 +13,9 @@ from daybefore.operators.prefix import prefix_sums
 LOG_EPS = 2.220446049250313e-16
 SWEEP_LO, SWEEP_HI, SWEEP_STEP = 0.30, 0.70, 0.01
 
+#: Parts that distinct scores are cut into for ranking.
+RANGES = 256
+
 
 def _log_loss(p: Column, y: Column) -> Column:
     q = F.greatest(F.least(p, F.lit(1.0 - LOG_EPS)), F.lit(LOG_EPS))
@@ -20,20 +23,19 @@ def _log_loss(p: Column, y: Column) -> Column:
 
 
 def auc(df: DataFrame, p: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Exact area under the ROC curve per group, ties counted half.
+    """Exact area under the ROC curve per group, ties counted half, for scores of any range.
 
-    Rows are first counted per distinct score.  The running count of negatives is taken over
-    three nested levels of the score (1/65536, 1/65536 of that, the score itself), so no
-    task sorts all scores of a group.
+    Rows are first counted per distinct score.  Approximate quantiles of the distinct scores cut them into
+    ``RANGES`` parts of about equal size; negatives are counted per part, summed up over the parts, and
+    the running count is taken inside each.  Where the cuts lie does not change the result.
     """
     pos, neg = (F.col(y) == 1).cast("long"), (F.col(y) == 0).cast("long")
     by_score = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(p).cast("double").alias("_p"))
-    counts = by_score.agg(F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg"))
-    scaled = F.col("_p") * 65536.0
-    coarse = F.floor(scaled)
-    levels = [coarse, F.floor((scaled - coarse) * 65536.0), F.col("_p")]
-    keyed = counts.withColumn("_g", F.lit(0))
-    ranked = prefix_sums(keyed, [*by, "_g"], levels, {"_below": F.col("_neg")})
+    counts = by_score.agg(F.sum(pos).alias("_pos"), F.sum(neg).alias("_neg")).withColumn("_g", F.lit(0))
+    steps = [i / RANGES for i in range(1, RANGES)]
+    cuts = counts.groupBy(*by, "_g").agg(F.array_distinct(F.percentile_approx("_p", steps, F.lit(20 * RANGES))).alias("_cuts"))
+    keyed = counts.join(cuts, [*by, "_g"]).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col("_p"))))
+    ranked = prefix_sums(keyed, [*by, "_g"], [F.col("_range"), F.col("_p")], {"_below": F.col("_neg")})
     gain = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
     both = F.sum("_pos").cast("double") * F.sum("_neg")
     return ranked.groupBy(*by, "_g").agg((gain / F.when(both > 0, both)).alias("roc_auc")).drop("_g")

@@ -22,6 +22,23 @@ def _means(cols: Sequence[str], min_obs: int, prefix: str = "rolling_"):
     return exprs
 
 
+def means(cols: Sequence[str], min_obs: int = 3, prefix: str = "rolling_"):
+    """For an as-of merge: mean of each column over the last rows, NULL below ``min_obs`` values."""
+    def exprs(value, recent, _):
+        return {f"{prefix}{c}": F.when(F.count(no_nan(value(c))).over(recent) >= min_obs, F.avg(no_nan(value(c))).over(recent)) for c in cols}
+    return exprs
+
+
+def ratio(num: str, den: str, min_obs: int = 3, out: str = "rate"):
+    """For an as-of merge: sum(num) / sum(den) over the last rows."""
+    def exprs(value, recent, _):
+        n, d = no_nan(value(num)), no_nan(value(den))
+        enough = (F.count(n).over(recent) >= min_obs) & (F.count(d).over(recent) >= min_obs)
+        total = F.sum(d).over(recent)
+        return {out: F.when(enough & (total != 0), F.sum(n).over(recent) / F.when(total != 0, total))}
+    return exprs
+
+
 def _ratio(num: str, den: str, min_obs: int, out: str):
     def exprs(w):
         enough = (F.count(num).over(w) >= min_obs) & (F.count(den).over(w) >= min_obs)

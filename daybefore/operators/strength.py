@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybefore.functions.scalars import bayes_mean, no_nan, previous_season
-from daybefore.operators.asof import asof_group_mean, asof_lookup, latest_per_day
+from daybefore.operators.asof import Source, asof_group_mean, asof_lookup, asof_merge, latest_per_day
 from daybefore.operators.daystate import DAY, attach, day_end_state, days_of, prior_sums
 
 # Fixed values of the strength model.
@@ -69,8 +74,7 @@ def schedule_values(met: DataFrame, snap: DataFrame, season: str, snap_time: str
     keys, opp_keys = ["team_id", season], ["opp_id", season]
     met = met.select(*keys, DAY, F.explode("_opps").alias("opp_id"))
     met = met.groupBy(*keys, DAY, "opp_id").agg(F.count(F.lit(1)).alias("_times"))
-    states = latest_per_day(snap.withColumnRenamed("team_id", "opp_id"), opp_keys, snap_time, [value])
-    got = met.join(asof_lookup(met.select(*opp_keys, DAY).distinct(), states, opp_keys), [*opp_keys, DAY], "left")
+    got = asof_merge(met, opp_keys, [Source(snap.withColumnRenamed("team_id", "opp_id"), snap_time, [value])])
     v = no_nan(value)
     per = got.groupBy(*keys, DAY).agg(
         F.sum(v * F.col("_times")).alias("_sum"), F.sum(F.when(v.isNotNull(), F.col("_times"))).alias("schedule_n"))
@@ -139,7 +143,7 @@ def team_strength(spine: DataFrame, played: DataFrame, snap: DataFrame, season:
         "league_gf_pg", "league_ga_pg", "split_games", "split_wins", "schedule_value", "schedule_n")
 
 
-def _member_log(starts: DataFrame, values: DataFrame, season: str, hist_time: str) -> DataFrame:
+def member_log(starts: DataFrame, values: DataFrame, season: str, hist_time: str) -> DataFrame:
     """Starts and values as one history, so that one window serves the sums of both."""
     sv = starts.select("player_id", season, hist_time, F.coalesce(no_nan("saves"), F.lit(0.0)).alias("saves"),
                        F.coalesce(no_nan("shots_against"), F.lit(0.0)).alias("shots"), F.lit(1).alias("starts"))
@@ -148,21 +152,23 @@ def _member_log(starts: DataFrame, values: DataFrame, season: str, hist_time: st
     return sv.unionByName(va, allowMissingColumns=True)
 
 
-_LOG_SUMS = ["saves", "shots", "starts", "value", "value_n"]
+LOG_SUMS = ["saves", "shots", "starts", "value", "value_n"]
 
 
 def member_baselines(spine: DataFrame, starts: DataFrame, values: DataFrame, season: str = "season",
                      time: str = "match_date", hist_time: str = "date", base: DataFrame | None = None) -> DataFrame:
     """League save rate and mean value this season before the date: ``league_rate``, ``league_value``."""
-    got = prior_sums(days_of(base or spine, [season], time), _member_log(starts, values, season, hist_time), [season],
-                     hist_time, {f"_{c}": F.col(c) for c in _LOG_SUMS}, {"": None})
+    got = prior_sums(days_of(base or spine, [season], time), member_log(starts, values, season, hist_time), [season],
+                     hist_time, {f"_{c}": F.col(c) for c in LOG_SUMS}, {"": None})
     out = attach(spine, got, [season], time)
-    some = F.col("_value_n") > 0
-    return out.withColumns({
-        "league_rate": F.when(F.col("_shots") > 0, F.col("_saves") / F.when(F.col("_shots") > 0, F.col("_shots")))
-                        .otherwise(F.lit(LEAGUE_RATE)),
-        "league_value": F.when(some, F.col("_value") / F.when(some, F.col("_value_n"))).otherwise(F.lit(0.0)),
-    }).drop(*[f"_{c}" for c in _LOG_SUMS])
+    return out.withColumns(league_members()).drop(*[f"_{c}" for c in LOG_SUMS])
+
+
+def league_members() -> dict[str, Column]:
+    """``league_rate`` and ``league_value`` from the season's sums so far."""
+    some, shots = F.col("_value_n") > 0, F.col("_shots") > 0
+    return {"league_rate": F.when(shots, F.col("_saves") / F.when(shots, F.col("_shots"))).otherwise(F.lit(LEAGUE_RATE)),
+            "league_value": F.when(some, F.col("_value") / F.when(some, F.col("_value_n"))).otherwise(F.lit(0.0))}
 
 
 def member_history(spine: DataFrame, starts: DataFrame, values: DataFrame, season: str = "season",
@@ -170,19 +176,25 @@ def member_history(spine: DataFrame, starts: DataFrame, values: DataFrame, seaso
     """Member's sums this season before the date, over the whole previous season, and recent start counts."""
     keys = ["player_id", season]
     asked = days_of((base or spine).where(F.col("player_id").isNotNull()), keys, time)
-    log = _member_log(starts, values, season, hist_time)
-    cur = prior_sums(asked, log, keys, hist_time, {f"cur_{c}": F.col(c) for c in _LOG_SUMS},
+    out = attach(spine, member_sums(asked, member_log(starts, values, season, hist_time), season, hist_time), keys, time)
+    return out.select(*spine.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in MEMBER_SUMS],
+                      *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in MEMBER_COUNTS])
+
+
+MEMBER_SUMS = ["cur_saves", "cur_shots", "cur_value", "prev_saves", "prev_shots", "prev_value"]
+MEMBER_COUNTS = ["starts_14", "starts_7", "cur_value_n", "prev_value_n"]
+
+
+def member_sums(asked: DataFrame, log: DataFrame, season: str = "season", hist_time: str = "date") -> DataFrame:
+    """The sums and counts of :func:`member_history` for (player, season, day) pairs, NULL where there is nothing."""
+    keys = ["player_id", season]
+    cur = prior_sums(asked, log, keys, hist_time, {f"cur_{c}": F.col(c) for c in LOG_SUMS},
                      {"": None, "_14": 14, "_7": 7})
     prev = log.groupBy("player_id", F.col(season).cast("long").alias("_prev_season")).agg(
-        *[F.sum(c).alias(f"prev_{c}") for c in _LOG_SUMS])
-    out = attach(spine, cur, keys, time).withColumn("_prev_season", previous_season(season))
-    out = out.join(prev, ["player_id", "_prev_season"], "left")
-    sums = ["cur_saves", "cur_shots", "cur_value", "prev_saves", "prev_shots", "prev_value"]
-    counts = {"cur_starts_14": "starts_14", "cur_starts_7": "starts_7", "cur_value_n": "cur_value_n",
-              "prev_value_n": "prev_value_n"}
-    return out.select(
-        *spine.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sums],
-        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n) for c, n in counts.items()])
+        *[F.sum(c).alias(f"prev_{c}") for c in LOG_SUMS])
+    out = cur.withColumn("_prev_season", previous_season(season)).join(prev, ["player_id", "_prev_season"], "left")
+    named = {"cur_starts_14": "starts_14", "cur_starts_7": "starts_7"}
+    return out.select(*keys, DAY, *MEMBER_SUMS, *[F.col(c).alias(named.get(c, c)) for c in ("cur_starts_14", "cur_starts_7", "cur_value_n", "prev_value_n")])
 
 
 def member_strength_columns(df: DataFrame, rest: str = "rest_days", defense: str = "team_def_strength") -> DataFrame:
@@ -233,44 +245,65 @@ def lineup_context(spine: DataFrame, log: DataFrame, season: str = "season", tim
     keys = ["team_id", season]
     out = attach(spine, lineup_values(days_of(base or spine, keys, time), log, season, log_time, id, top, depth,
                                       active_days), keys, time)
-    names = ["lineup_availability", "top_skater_impact", "deployment_concentration"]
-    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in names})
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in LINEUP_VALUES})
 
 
 def lineup_values(asked_days: DataFrame, log: DataFrame, season: str = "season", log_time: str = "date",
                   id: str = "match_id", top: int = TOP_N, depth: int = DEPTH_N,
                   active_days: int = ACTIVE_DAYS) -> DataFrame:
-    """Lineup columns for the (team, season, day) pairs asked for that have any.
+    """Asked (team, season, day) rows with their lineup columns, NULL where the team has no player yet.
 
-    ``log`` carries ``rolling_toi_sec``, ``rolling_points`` and ``rolling_sog``.  Each player's
-    row stands from the day after it until the day of the player's next row for that team and season; it is
-    matched to the team's asked days in that span (a season has at most some hundred), and
-    Spark's group limit keeps ``depth`` rows per (team, day) before the shuffle.
+    ``log`` carries ``rolling_toi_sec``, ``rolling_points`` and ``rolling_sog``.  A sweep over the days of each
+    (team, season): a player's row of a day changes the standing order of the team's players, and an asked row,
+    which carries all its columns along, reads the first ``depth`` of it.  What is shuffled is the last
+    row of each player and day and the asked rows; no player is matched to the days asked for.
+    A row without ice time takes its player out.
     """
     keys = ["team_id", season]
     vals = ["rolling_toi_sec", "rolling_points", "rolling_sog"]
-    per_day = latest_per_day(log, [*keys, "player_id"], log_time, vals, [id])
-    w = Window.partitionBy(*keys, "player_id").orderBy(DAY)
-    spans = per_day.withColumn("_until", F.lead(DAY).over(w)).where(F.col("rolling_toi_sec").isNotNull())
-    asked = asked_days.groupBy(*keys).agg(F.collect_set(DAY).alias("_days"))
-    hit = spans.withColumnRenamed(DAY, "_seen").join(asked, keys).select(
-        *keys, "player_id", "_seen", *vals,
-        F.explode(F.filter("_days", lambda d: (d > F.col("_seen")) & (
-            F.col("_until").isNull() | (d <= F.col("_until"))))).alias(DAY))
-    rank = Window.partitionBy(*keys, DAY).orderBy(F.col("rolling_toi_sec").desc(), F.col("player_id"))
-    best = hit.withColumn("_rn", F.row_number().over(rank)).where(F.col("_rn") <= depth)
-    is_top = F.col("_rn") <= top
-    active = F.datediff(F.col(DAY), F.col("_seen")) <= active_days
-    both = is_top & active
-    weight = F.greatest(F.col("rolling_toi_sec"), F.lit(1.0))
-    score = F.coalesce("rolling_points", F.lit(0.0)) + SHOT_POINTS * F.coalesce("rolling_sog", F.lit(0.0))
-    toi = F.col("rolling_toi_sec")
-    agg = best.groupBy(*keys, DAY).agg(
-        F.count_if(both).alias("_act"), F.count_if(is_top).alias("_top"),
-        F.sum(F.when(both, weight * score)).alias("_ws"), F.sum(F.when(both, weight)).alias("_w"),
-        F.sum(F.when(is_top, toi)).alias("_tt"), F.sum(toi).alias("_dt"))
-    return agg.select(
-        *keys, DAY,
-        (F.col("_act") / F.greatest(F.col("_top"), F.lit(1)) - AVAILABLE_BASE).alias("lineup_availability"),
-        F.when(F.col("_act") > 0, F.col("_ws") / F.col("_w") - IMPACT_BASE).otherwise(0.0).alias("top_skater_impact"),
-        (F.col("_tt") / F.greatest(F.col("_dt"), F.lit(1.0)) - CONCENTRATION_BASE).alias("deployment_concentration"))
+    events = latest_per_day(log.dropna(subset=keys), [*keys, "player_id"], log_time, vals, [id]).select(
+        *keys, F.col(DAY).alias("_t"), F.col("player_id").cast("long").alias("_who"), *[F.col(c).cast("double").alias(f"_{c}") for c in vals])
+    asks = asked_days.select(*keys, F.col(DAY).alias("_t"), F.struct(*asked_days.columns).alias("_asked"))
+    both = events.withColumn("_asks", F.lit(0)).unionByName(asks.withColumn("_asks", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition(*keys).sortWithinPartitions(*keys, "_t", F.col("_asks").desc())
+    out = [*asked_days.columns, *LINEUP_VALUES]
+    kept = both.schema["_asked"].dataType.simpleString()
+    swept = both.mapInArrow(_sweep(len(keys), top, depth, active_days), f"_asked {kept}, " + ", ".join(f"{c} double" for c in LINEUP_VALUES))
+    return swept.select("_asked.*", *LINEUP_VALUES).select(*out)
+
+
+LINEUP_VALUES = ["lineup_availability", "top_skater_impact", "deployment_concentration"]
+
+
+def _sweep(n_keys: int, top: int, depth: int, active_days: int):
+    """Carries one team's players in order of ice time through its days, which arrive in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        team, order, held = None, [], {}
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(n_keys)]))
+            cols = [batch.column(c).to_pylist() for c in ("_t", "_asks", "_who", "_rolling_toi_sec", "_rolling_points", "_rolling_sog")]
+            rows = []
+            for key, d, asks, who, toi, points, sog in zip(keys, *cols):
+                if key != team:
+                    team, order, held = key, [], {}
+                if asks:
+                    rows.append(_lineup(order[:depth], d, top, active_days))
+                    continue
+                if who in held:
+                    del order[bisect_left(order, held.pop(who))]
+                if toi is not None:
+                    entry = held[who] = (-toi, (who is not None, who or 0), d, points or 0.0, sog or 0.0)
+                    insort(order, entry)
+            asked = batch.column("_asked").filter(pc.equal(batch.column("_asks"), 1))
+            yield pa.RecordBatch.from_arrays([asked, *[pa.array([r[i] for r in rows], pa.float64()) for i in range(3)]], ["_asked", *LINEUP_VALUES])
+    return run
+
+
+def _lineup(best: list, day, top: int, active_days: int) -> tuple:
+    if not best:
+        return None, None, None
+    first = best[:top]
+    active = [(max(-t, 1.0), points + SHOT_POINTS * sog) for t, _, seen, points, sog in first if (day - seen).days <= active_days]
+    weight = sum(w for w, _ in active)
+    return (len(active) / max(len(first), 1) - AVAILABLE_BASE, sum(w * s for w, s in active) / weight - IMPACT_BASE if active else 0.0,
+            -sum(b[0] for b in first) / max(-sum(b[0] for b in best), 1.0) - CONCENTRATION_BASE)

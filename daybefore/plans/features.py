@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybefore.functions.scalars import bracket_year, or_default, season_of
-from daybefore.operators.asof import asof_lookup, asof_lookups, latest_per_day
+from daybefore.operators.asof import Source, asof_merge
 from daybefore.operators.daystate import DAY
 from daybefore.operators.pairs import (head_to_head, seat_seeds, seed_difference, series_as_of, series_context,
                                        series_state, with_pair)
-from daybefore.operators.rating import START, elo_states
-from daybefore.operators.rolling import mean_states, ratio_states, rest_states, sides
-from daybefore.operators.strength import (LEAGUE_GOALS, league_states, lineup_values, member_baselines,
-                                          member_history, member_strength_columns, opponent_states, schedule_values, split_record, team_strength_columns)
+from daybefore.operators.rating import START, elo_log
+from daybefore.operators.rolling import means, ratio, rest_states, sides
+from daybefore.operators.strength import (LEAGUE_GOALS, LOG_SUMS, MEMBER_COUNTS, MEMBER_SUMS, SCHEDULE_GAMES, league_members, league_states,
+                                          lineup_values, member_log, member_strength_columns, member_sums, schedule_values, team_strength_columns)
 from daybefore.plans.columns import (GOALIE_STRENGTHS, LINEUP, SERIES, SHARES, STANDING_MEASURES, TEAM_STATS,
                                      TEAM_STRENGTHS)
+from daybefore.session import written
 from daybefore.sources.context import Context
 from daybefore.sources.scans import PLAYOFF, REGULAR
 
@@ -58,71 +59,83 @@ def side_features(ctx: Context, sides_df: DataFrame, member_mode: str = "actual"
     the team's latest starter where none is recorded for the strengths; "latest" uses a valid
     override, else the latest starter, for both.
     """
-    played = sides(ctx.games, **_GAME, keep=["season"])
-    td = sides_df.select("team_id", "season", F.col("date").alias(DAY)).distinct()
+    sides_df = written(sides_df)
+    days = team_days(ctx, sides_df.select("team_id", "season", F.col("date").alias(DAY)).distinct(), rest_types)
+    rows = sides_df.join(days.withColumnRenamed(DAY, "date"), ["team_id", "season", "date"], "left")
+    home = F.col("is_home")
+    rows = rows.withColumns({"split_games": F.coalesce(F.when(home, F.col("_hg")).otherwise(F.col("_ag")), F.lit(0)).cast("long"),
+                             "split_wins": F.coalesce(F.when(home, F.col("_hw")).otherwise(F.col("_aw")), F.lit(0.0))})
+    rows = written(team_strength_columns(_members(rows, ctx.goalies, member_mode)))
+    who = rows.where(F.col("player_id").isNotNull()).select("player_id", "season", F.col("date").alias(DAY)).distinct()
+    rows = rows.join(member_days(ctx, who).withColumnRenamed(DAY, "date"), ["player_id", "season", "date"], "left")
+    rolls = F.col("_roller").isNotNull()
+    rows = rows.withColumns({"goalie_sv": F.when(rolls, F.col("goalie_sv")), "goalie_gsax": F.when(rolls, F.col("rolling_value")),
+                             "_rest_used": F.col("rest_days") if use_rest else F.lit(None).cast("int"),
+                             **{c: F.coalesce(c, F.lit(0.0)) for c in MEMBER_SUMS}, **{c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in MEMBER_COUNTS}})
+    return member_strength_columns(rows, "_rest_used")
 
-    # Each lookup is used once below: Spark has no common subplans, so one used twice is planned twice.
-    # by team: rolling statistics and shares, last day played
-    rest_src = ctx.games if rest_types is None else ctx.games.where(F.col("game_type").isin(*rest_types))
-    by_team = asof_lookups(td.select("team_id", DAY).distinct(), [
-        mean_states(ctx.team_stats, "team_id", "date", "game_id", TEAM_STATS),
-        mean_states(ctx.shares, "team_id", "date", "game_id", SHARES),
-        rest_states(sides(rest_src, **_GAME), "team_id", "date")], ["team_id"])
 
-    # by team and season: standings and rating, and last opponents
+def team_days(ctx: Context, asked: DataFrame, rest_types=None) -> DataFrame:
+    """All team columns for (team, season, day) rows: one pass through each key's days after the other, without joins.
+
+    The asked rows go through the (team, season) merge, the lineup sweep and the team merge with all
+    they have gathered so far; what a season's days share and the opponents' standings, for which those
+    results are needed, are joined to the written table.
+    """
     keys = ["team_id", "season"]
+    played = sides(ctx.games, **_GAME, keep=["season"])
     snaps = ctx.standings.withColumn("as_of_date", F.col("as_of_date").cast("date"))
-    ratings = elo_states(ctx.games, "id", "date", ["season"], "home_team_id", "away_team_id")
-    by_season = asof_lookups(td, [
-        latest_per_day(snaps, keys, "as_of_date", [*STANDING_MEASURES, "as_of_date"]), ratings], keys)
-    met = asof_lookup(td, opponent_states(played, "season", "date", "id"), keys)
-    schedule = schedule_values(met, ctx.standings, "season", "as_of_date", "point_pctg")
-    lineup = lineup_values(td, ctx.skaters, "season", "date", "game_id")
-    league = asof_lookup(td.select("season", DAY).distinct(), league_states(ctx.standings, "season", "as_of_date"),
-                         ["season"])
-    shorter = {f"rolling_{s}": F.col(f"rolling_{s}").alias(s) for s in SHARES}
-    days = by_season.join(by_team, ["team_id", DAY], "left").join(schedule, [*keys, DAY], "left").join(
-        lineup, [*keys, DAY], "left").join(league, ["season", DAY], "left")
+    won, at_home = F.col("won"), F.col("is_home")
+    split = {"hg": F.count_if(at_home), "hw": F.sum(F.when(at_home, won)), "ag": F.count_if(~at_home), "aw": F.sum(F.when(~at_home, won))}
+    daily = played.groupBy(*keys, F.col("date").cast("date").alias(DAY)).agg(*[e.alias(c) for c, e in split.items()])
+    days = asof_merge(asked, keys, [
+        Source(snaps, "as_of_date", [*STANDING_MEASURES, "as_of_date"]),
+        Source(elo_log(ctx.games, "id", "date", ["season"], "home_team_id", "away_team_id"), DAY, ["rating"], "_id"),
+        Source(played, "date", ["opp_id"], "id", SCHEDULE_GAMES, lambda v, recent, _: {"_opps": F.collect_list(v("opp_id")).over(recent)}),
+        Source(daily, DAY, list(split), exprs=lambda v, _, whole: {f"_{c}": F.sum(v(c)).over(whole) for c in split})])
+    days = lineup_values(days, ctx.skaters, "season", "date", "game_id")
+    rest_src = ctx.games if rest_types is None else ctx.games.where(F.col("game_type").isin(*rest_types))
+    days = asof_merge(days, ["team_id"], [
+        Source(ctx.team_stats, "date", TEAM_STATS, "game_id", 10, means(TEAM_STATS)),
+        Source(ctx.shares, "date", SHARES, "game_id", 10, means(SHARES, prefix="")),
+        Source(rest_states(sides(rest_src, **_GAME), "team_id", "date"), DAY, ["_last"]),
+        Source(ctx.goalies.withColumnRenamed("player_id", "_latest"), "date", ["_latest"], "game_id")])
+    days = written(days)
+    log = member_log(ctx.goalies, ctx.goalie_values, "season", "date")
+    by_day = log.groupBy("season", F.col("date").cast("date").alias(DAY)).agg(*[F.sum(c).alias(c) for c in LOG_SUMS])
+    season = asof_merge(days.select("season", DAY).distinct(), ["season"], [
+        Source(league_states(ctx.standings, "season", "as_of_date"), DAY, ["league_gf_pg", "league_ga_pg"]),
+        Source(by_day, DAY, LOG_SUMS, exprs=lambda v, _, whole: {f"_{c}": F.sum(v(c)).over(whole) for c in LOG_SUMS})])
+    schedule = schedule_values(days, ctx.standings, "season", "as_of_date", "point_pctg")
+    days = days.join(schedule, [*keys, DAY], "left").join(season, ["season", DAY], "left")
     new = {"rest_days": F.datediff(DAY, "_last"), "elo": F.coalesce("rating", F.lit(START)),
            "schedule_n": F.coalesce("schedule_n", F.lit(0)),
-           "league_gf_pg": F.coalesce("league_gf_pg", F.lit(LEAGUE_GOALS)),
-           "league_ga_pg": F.coalesce("league_ga_pg", F.lit(LEAGUE_GOALS)),
-           **{c: F.coalesce(c, F.lit(0.0)) for c in LINEUP}}
-    days = days.select(F.col(DAY).alias("date"), *[shorter.get(c, F.col(c)) for c in days.columns if c not in (
-        *new, DAY, "_last", "rating")], *[e.alias(c) for c, e in new.items()])
-
-    rows = _members(sides_df, ctx.goalies, member_mode)
-    who = rows.select("_roller", "player_id", "season", F.col("date").alias(DAY))
-    rolled = asof_lookups(who.where(F.col("_roller").isNotNull()).select("_roller", DAY).distinct(), [
-        ratio_states(ctx.goalies.withColumnRenamed("player_id", "_roller"), "_roller", "date", "game_id", "saves",
-                     "shots_against", out="goalie_sv"),
-        mean_states(ctx.goalie_values.withColumnRenamed("player_id", "_roller"), "_roller", "date", "game_id",
-                    ["value"])], ["_roller"]).withColumnsRenamed({"rolling_value": "goalie_gsax", DAY: "date"})
-    rows = rows.join(rolled, ["_roller", "date"], "left").join(days, [*keys, "date"], "left")
-    rows = split_record(rows, played, "season", "date", base=sides_df)
-    rows = team_strength_columns(rows)
-    rows = rows.withColumn("_rest_used", F.col("rest_days") if use_rest else F.lit(None).cast("int"))
-    rows = member_baselines(rows, ctx.goalies, ctx.goalie_values, "season", "date", "date", base=sides_df)
-    rows = member_history(rows, ctx.goalies, ctx.goalie_values, "season", "date", "date",
-                          base=who.withColumnRenamed(DAY, "date"))
-    return member_strength_columns(rows, "_rest_used")
+           "league_gf_pg": F.coalesce("league_gf_pg", F.lit(LEAGUE_GOALS)), "league_ga_pg": F.coalesce("league_ga_pg", F.lit(LEAGUE_GOALS)),
+           **league_members(), **{c: F.coalesce(c, F.lit(0.0)) for c in LINEUP}}
+    used = {*new, "_last", "rating", "_opps", *[f"_{c}" for c in LOG_SUMS]}
+    return days.select(*[c for c in days.columns if c not in used], *[e.alias(c) for c, e in new.items()])
+
+
+def member_days(ctx: Context, asked: DataFrame) -> DataFrame:
+    """Sums of this season and the last, and rolling columns, for (player, season, day) rows."""
+    sums = member_sums(asked, member_log(ctx.goalies, ctx.goalie_values, "season", "date"))
+    return asof_merge(sums, ["player_id"], [
+        Source(ctx.goalies, "date", ["saves", "shots_against"], "game_id", 10, ratio("saves", "shots_against", out="goalie_sv")),
+        Source(ctx.goalie_values, "date", ["value"], "game_id", 10, means(["value"]))])
 
 
-def _members(sides_df: DataFrame, starts: DataFrame, mode: str) -> DataFrame:
-    """Sides with ``player_id`` (for the strengths) and ``_roller`` (for the rolling columns)."""
-    latest = latest_per_day(starts, ["team_id"], "date", ["player_id"], ["game_id"])
-    latest = asof_lookup(sides_df.select("team_id", F.col("date").alias(DAY)).distinct(), latest, ["team_id"])
-    rows = sides_df.join(latest.withColumnsRenamed({DAY: "date", "player_id": "_latest"}), ["team_id", "date"], "left")
+def _members(rows: DataFrame, starts: DataFrame, mode: str) -> DataFrame:
+    """Sides, with their team's ``_latest`` starter, given ``player_id`` (for the strengths) and ``_roller`` (for the rolling columns)."""
+    columns = [c for c in rows.columns if c != "_latest"]
     if mode == "latest":
         first = starts.groupBy("team_id", F.col("player_id").alias("_override")).agg(F.min("date").alias("_first"))
         who = F.when(F.col("_first") < F.col("date"), F.col("_override")).otherwise(F.col("_latest"))
-        return rows.join(first, ["team_id", "_override"], "left").select(
-            *sides_df.columns, who.alias("player_id"), who.alias("_roller"))
+        return rows.join(first, ["team_id", "_override"], "left").select(*columns, who.alias("player_id"), who.alias("_roller"))
     if mode != "actual":
         raise ValueError("member_mode is 'actual' or 'latest'")
     actual = starts.groupBy("game_id", "team_id", "is_home").agg(F.min("player_id").alias("_roller"))
     return rows.join(actual, ["game_id", "team_id", "is_home"], "left").select(
-        *sides_df.columns, F.coalesce("_roller", "_latest").alias("player_id"), "_roller")
+        *columns, F.coalesce("_roller", "_latest").alias("player_id"), "_roller")
 
 
 _SIDE_VALUES = [*STANDING_MEASURES, "as_of_date", *[f"rolling_{c}" for c in TEAM_STATS], *SHARES, "rest_days", "elo",

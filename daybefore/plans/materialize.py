@@ -11,24 +11,25 @@ from daybefore.functions.scalars import contract
 from daybefore.operators.asof import asof_join
 from daybefore.plans.columns import (GOALIE_STRENGTHS, LINEUP, PLAYOFF_CONTRACT, SHARES, STORE_CONTRACT,
                                      STORE_VERSION, TEAM_STATS, TEAM_STRENGTHS, TRAINING_CONTRACT)
-from daybefore.plans.features import SPINE, attach_series, build_features, side_features
-from daybefore.session import cut_lineage
+from daybefore.plans.features import SPINE, attach_series, build_features, game_spine, side_features
+from daybefore.session import cut_lineage, written
 from daybefore.sources.context import Context
-from daybefore.sources.scans import PLAYOFF, REGULAR, first_non_empty, read_or_empty
-from daybefore.sources.store import upsert
+from daybefore.sources import store
+from daybefore.sources.scans import PLAYOFF, REGULAR, first_non_empty
 
 
 def store_rows(ctx: Context, series: DataFrame, game_type: str = "all", limit: int | None = None,
                version: str = STORE_VERSION) -> DataFrame:
     """Contract rows of the chosen types, tagged with a version; the first ``limit`` by (date, game)."""
-    frames = []
-    if game_type in ("2", "all"):
-        frames.append(build_features(ctx, game_type=REGULAR))
-    if game_type in ("3", "all"):
-        frames.append(attach_series(build_features(ctx, game_type=PLAYOFF), ctx.games, series))
-    if not frames:
+    types = {"2": [REGULAR], "3": [PLAYOFF], "all": [REGULAR, PLAYOFF]}.get(game_type)
+    if types is None:
         raise ValueError("game_type is '2', '3' or 'all'")
-    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
+    spine = game_spine(ctx.games, None).where(F.col("game_type").isin(types))
+    df = build_features(ctx, spine, member_mode="actual", h2h_types="by_type")  # one plan for both types
+    if PLAYOFF in types:
+        df = written(df) if REGULAR in types else df
+        playoff = attach_series(df.where(F.col("game_type") == PLAYOFF), ctx.games, series)
+        df = playoff if REGULAR not in types else df.where(F.col("game_type") == REGULAR).unionByName(playoff, allowMissingColumns=True)
     rows = contract(df.withColumn("feature_version", F.lit(version)), STORE_CONTRACT)
     return rows.orderBy("date", "game_id").limit(limit) if limit is not None else rows
 
@@ -40,7 +41,7 @@ def form_sides(ctx: Context, rows: DataFrame) -> DataFrame:
     both = rows.select(F.col("game_id").alias("_g"), "season", "date", F.inline(F.array(
         side("home", True), side("away", False))))
     none = F.lit(None).cast("long")
-    both = both.select("*", F.concat_ws("-", F.col("_g").cast("string"), F.col("is_home").cast("string")).alias(SPINE),
+    both = both.select("*", F.concat_ws("-", F.lpad(F.col("_g").cast("string"), 20, "0"), F.col("is_home").cast("string")).alias(SPINE),
                        none.alias("game_id"), none.alias("_override"))
     w = Window.partitionBy("team_id", "date").orderBy(F.col("_g").desc(), F.col("is_home").cast("int"))
     last = both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", "_g")
@@ -77,24 +78,23 @@ class Written:
 
 def materialize(ctx: Context, series: DataFrame, path: str, game_type: str = "all", limit: int | None = None,
                 version: str = STORE_VERSION, dry_run: bool = False) -> Written:
-    """Build and upsert the three tables under ``path``; with ``dry_run`` only count."""
+    """Build the three tables and upsert them into the store at ``path`` in one commit; with ``dry_run`` only count."""
     rows = cut_lineage(store_rows(ctx, series, game_type, limit, version))
     counts = {r["game_type"]: r["count"] for r in rows.groupBy("game_type").count().collect()}
     team, goalie = form_snapshots(cut_lineage(form_sides(ctx, rows)), version)
     month = F.date_format("as_of_date", "yyyy-MM")
-    return Written(
-        upsert(f"{path}/game_features", rows, ["game_id"], ["date"], "season", dry_run),
-        upsert(f"{path}/team_form", team.withColumn("month", month), ["team_id", "as_of_date"], ["season"], "month",
-               dry_run),
-        upsert(f"{path}/goalie_form", goalie.withColumn("month", month), ["player_id", "as_of_date"], ["team_id"],
-               "month", dry_run),
-        counts)
+    writes = {"game_features": store.Write(rows, ["game_id"], ["date"], "season"),
+              "team_form": store.Write(team.withColumn("month", month), ["team_id", "as_of_date"], ["season"], "month"),
+              "goalie_form": store.Write(goalie.withColumn("month", month), ["player_id", "as_of_date"], ["team_id"], "month")}
+    n = store.count(writes) if dry_run else store.commit(rows.sparkSession, path, writes)
+    return Written(n["game_features"], n["team_form"], n["goalie_form"], counts)
 
 
 def stored_features(spark, path: str, game_type: int | None = None) -> DataFrame:
     """Feature-store scan; empty with the contract schema when nothing is stored yet."""
-    ddl = ", ".join(f"`{c}` {t}" for c, t in STORE_CONTRACT.items())
-    df = read_or_empty(spark, f"{path}/game_features", ddl)
+    df = store.read(spark, path, "game_features")
+    if df is None:
+        df = spark.createDataFrame([], ", ".join(f"`{c}` {t}" for c, t in STORE_CONTRACT.items()))
     return df if game_type is None else df.where(F.col("game_type") == game_type)
 
 

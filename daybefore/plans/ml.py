@@ -10,12 +10,13 @@ from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybefore.functions.scalars import neutral_fill, no_nan, position_code
 from daybefore.functions.scores import EPS, score_distribution
+from daybefore.operators.isotonic import Isotonic, fit_isotonic
 from daybefore.operators.metrics import (absolute_error, best_threshold, macro_f1, probability_metrics)
 from daybefore.plans.columns import (EVENT_FEATURES, FEATURES, LEAN, NEUTRAL_FILLS, PLAYER_FEATURES,
                                      PLAYOFF_FEATURES)
@@ -111,9 +112,7 @@ class Calibrated:
         for i, (base, cal) in enumerate(self.pairs):
             if self.method == "isotonic":
                 cur = with_probability(base, cur, "_s")
-                nxt = cal.transform(cur.withColumn("_s", F.col("_s")))
-                cur = nxt.select(*cur.columns[:-1], F.least(F.greatest(F.col("prediction"), F.lit(0.0)),
-                                                            F.lit(1.0)).alias(f"_c{i}"))
+                cur = cur.withColumn(f"_c{i}", cal.apply(F.col("_s"))).drop("_s")
             else:
                 cur = _margin(base, cur, "_s")
                 nxt = cal.transform(VectorAssembler(inputCols=["_s"], outputCol="_sv").transform(cur))
@@ -130,9 +129,7 @@ def fit_calibrated(train: DataFrame, recipe: Recipe, features: Sequence[str], la
         base = fit_classifier(t.where(F.col("_fold") != k), recipe, features, label)
         held = t.where(F.col("_fold") == k)
         if method == "isotonic":
-            scored = with_probability(base, held, "_s")
-            cal = IsotonicRegression(featuresCol="_s", labelCol=label).fit(
-                scored.select("_s", F.col(label).cast("double").alias(label)))
+            cal = fit_isotonic(with_probability(base, held, "_s"), "_s", label)
         elif method == "sigmoid":
             scored = VectorAssembler(inputCols=["_s"], outputCol="_sv").transform(_margin(base, held, "_s"))
             cal = LogisticRegression(featuresCol="_sv", labelCol=label).fit(scored)
@@ -181,7 +178,10 @@ class Payload:
             parts = {"kind": "calibrated", "method": self.model.method, "n": len(self.model.pairs)}
             for i, (base, cal) in enumerate(self.model.pairs):
                 base.write().overwrite().save(f"{path}/base_{i}")
-                cal.write().overwrite().save(f"{path}/calibrator_{i}")
+                if isinstance(cal, Isotonic):
+                    spark.createDataFrame([(cal.dumps(),)], "value string").write.mode("overwrite").text(f"{path}/calibrator_{i}")
+                else:
+                    cal.write().overwrite().save(f"{path}/calibrator_{i}")
         elif isinstance(self.model, GoalsModel):
             parts = {"kind": "goals"}
             self.model.home.write().overwrite().save(f"{path}/home")
@@ -199,12 +199,13 @@ class Payload:
 
 def load_payload(spark: SparkSession, path: str) -> Payload:
     from pyspark.ml.classification import LogisticRegressionModel
-    from pyspark.ml.regression import IsotonicRegressionModel
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     if meta["kind"] == "calibrated":
-        cal = IsotonicRegressionModel if meta["method"] == "isotonic" else LogisticRegressionModel
+
+        def calibrator(at):
+            return Isotonic.loads(spark.read.text(at).first()[0]) if meta["method"] == "isotonic" else LogisticRegressionModel.load(at)
         model = Calibrated(meta["method"], [
-            (PipelineModel.load(f"{path}/base_{i}"), cal.load(f"{path}/calibrator_{i}")) for i in range(meta["n"])])
+            (PipelineModel.load(f"{path}/base_{i}"), calibrator(f"{path}/calibrator_{i}")) for i in range(meta["n"])])
     elif meta["kind"] in ("goals", "scores"):
         h, a = PipelineModel.load(f"{path}/home"), PipelineModel.load(f"{path}/away")
         model = GoalsModel(h, a, meta["lambda3"]) if meta["kind"] == "goals" else ScoreModel(h, a)

@@ -50,6 +50,11 @@ def parsed_clock(rows: DataFrame, clock: str = "toi", out: str = "toi_sec") -> D
     return rows.withColumn(out, clock_seconds(clock))
 
 
+def skater_scan(rows: DataFrame, games: DataFrame, clock: str = "toi") -> DataFrame:
+    """Player rows of games with ice time in seconds and the game's date and season; NULL where the game is unknown."""
+    return with_game_columns(parsed_clock(rows, clock), games, columns=("date", "season"))
+
+
 def typed(rows: DataFrame, numbers: Sequence[str], dates: Sequence[str] = ("date",)) -> DataFrame:
     """Coerce the named columns that exist; bad values become NULL."""
     cols = {c: safe_number(c) for c in numbers if c in rows.columns}

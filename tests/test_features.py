@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bridge.views import Views
+from daybefore.plans import materialize
 from daybefore.plans.features import SPINE, build_features
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,25 @@ def test_later_rows_change_nothing(batch):
     assert got.keys() == {g for g, r in rows.items() if r["date"] < cut}
     for g, r in got.items():
         same(r, rows[g])
+
+
+def test_stored_training_rows_equal_computed_ones(spark, batch, tmp_path):
+    """From the store where there are rows, else computed; a dry run stores nothing."""
+    v, rows = batch
+    path = str(tmp_path / "features")
+    dry = materialize.materialize(v.context, v.series, path, dry_run=True)
+    assert not (tmp_path / "features").exists() and materialize.stored_features(spark, path).isEmpty()
+    computed = {k: {r["game_id"]: r.asDict() for r in materialize.training_rows(v.context, path, k, v.series).collect()} for k in (2, 3)}
+    done = materialize.materialize(v.context, v.series, path)
+    assert done == dry and done.features == sum(done.by_type.values()) == sum(map(len, computed.values())) and done.teams and done.goalies
+    for kind, want in computed.items():
+        got = {r["game_id"]: r.asDict() for r in materialize.training_rows(v.context, path, kind, v.series).collect()}
+        assert got.keys() == want.keys() and (kind == 3 or got.keys() == rows.keys())
+        for g, r in got.items():
+            same(r, want[g])
+
+
+def test_the_plan_stays_small(batch):
+    """What is left to do once the shared tables are written: few shuffles, each source read at most twice."""
+    plan = build_features(batch[0].context, game_type=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 25

@@ -105,15 +105,34 @@ def brute_elo(rows):
     return out
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 50])
-def test_rating_whole_and_in_pieces(matches, max_rows):
+@pytest.mark.parametrize("passes", [6, 1])
+def test_rating_by_passes(matches, passes):
     rows, df = matches
     want = brute_elo(rows)
-    got = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in rating.elo(df, max_rows=max_rows).collect()}
+    got = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in rating.elo(df, passes=passes).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+def test_rating_of_many_matches_equals_the_row_fold(spark):
+    """10,000 matches of skewed teams in two leagues' seasons, ids shared between them, null dates left out."""
+    rng, rows, ratings, want = random.Random(3), [], {}, {}
+    for n in range(10_000):
+        h = 0 if rng.random() < .3 else rng.randrange(40)
+        rows.append((n // 2, None if n % 997 == 5 else day(n // 60), n % 2, h, (h + 1 + rng.randrange(39)) % 40, rng.randrange(5), rng.randrange(5)))
+    for i, d, s, h, a, hs, as_ in sorted((r for r in rows if r[1]), key=lambda r: (r[2], r[1], r[0])):
+        rh, ra = ratings.get((s, h), 1500.0), ratings.get((s, a), 1500.0)
+        want[s, i] = (rh, ra)
+        up = 5 * ((hs > as_) - 1 / (1 + 10 ** ((ra - rh - 50) / 400)))
+        ratings[s, h], ratings[s, a] = rh + up, ra - up
+    df = spark.createDataFrame(rows, "match_id long, match_date date, season long, home_id long, away_id long, home_score int, away_score int")
+    out = rating.elo(df, same_day="rows").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        seen = (r["home_elo"], r["away_elo"])
+        assert seen == (None, None) if r["match_date"] is None else seen == pytest.approx(want[r["season"], r["match_id"]], abs=1e-9)
+
+
 def test_head_to_head_counts_every_earlier_meeting(matches):
     rows, df = matches
     for r in pairs.head_to_head(df, df).collect():
@@ -216,7 +235,7 @@ def test_upsert_is_idempotent_and_last_wins(spark, tmp_path):
     assert store.upsert(path, a, ["k"], ["v"], "part") == 2
     for _ in range(2):
         assert store.upsert(path, b, ["k"], ["v"], "part") == 2
-        assert {r["k"]: r["p"] for r in spark.read.parquet(path).collect()} == {1: 9.0, 2: 3.0, 3: 4.0}
+        assert {r["k"]: r["p"] for r in store.read(spark, path).collect()} == {1: 9.0, 2: 3.0, 3: 4.0}
 
 
 def test_scalars(spark):
