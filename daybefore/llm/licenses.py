@@ -3,7 +3,8 @@
 The canonical form of a text drops copyright clauses, lower-cases, turns punctuation and white space
 into single blanks and unifies equivalent spellings; known licences go through the same
 columns.  The digest of the whole text, and of each of its lines (short notices stand alone on a
-line), is hash-joined to the known digests.
+line), is hash-joined to the known digests.  The form is computed once and its digests written; lines as long as
+no known text are not hashed.
 
 Edge rows: null, empty and blank texts have the digest of the empty text and match nothing;
 equal known texts are all reported; rows with the same id and canonical text share their answer.
@@ -17,7 +18,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybefore.llm.common import document_columns
+from daybefore.llm.common import document_columns, stored
 
 # Spellings that count as the same word.
 SAME_WORDS = {
@@ -42,7 +43,7 @@ COPYRIGHT_CLAUSES = (r"^(?:[^a-z0-9]*(?:all rights reserved[.!]*|(?:copyright +(
                      rf".*?(?:(?=\b(?:{AFTER_CLAUSE}))|(?<!\b(?:{ABBREVIATIONS}|[0-9]{{1,12}}))[.!?](?=[\s\"')\]]|$)|$)))+")
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
-# Published licence texts and notices, also listed by the SQL twin; ``known_texts`` has more.
+# Published licence texts without title; ``known_texts`` has more.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
 (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute,
@@ -68,12 +69,6 @@ LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIA
 GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
 LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
 DAMAGE.""",
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
-    "CC0-1.0-notice": "Dedicated to the public domain under CC0 1.0.",
 }
 
 
@@ -105,7 +100,7 @@ TO_FILL_IN = re.compile(r"(?im)^\s*copyright \[yyyy\].*\n")
 def known_texts() -> list[tuple[str, str]]:
     """(licence, text) of whole texts, with and without title and closing advice, and of notices under the licences' names."""
     out = list(KNOWN.items())
-    whole = [(k, t) for k, t in KNOWN.items() if not k.endswith("-notice")] + [(p.stem.removesuffix("-UC"), p.read_text(encoding="utf-8")) for p in sorted(PUBLISHED.glob("*.txt"))]
+    whole = [*KNOWN.items()] + [(p.stem.removesuffix("-UC"), p.read_text(encoding="utf-8")) for p in sorted(PUBLISHED.glob("*.txt"))]
     for name, text in whole:
         if name.startswith("BSD-"):  # clauses are numbered or bulleted
             number = iter(range(1, 9))
@@ -124,18 +119,28 @@ def known_texts() -> list[tuple[str, str]]:
     return list(dict.fromkeys(out))
 
 
+#: Finds texts that hold one of the spellings at all; few do.
+_ANY_SPELLING = r"\b(?:" + "|".join(SAME_WORDS) + r")\b"
+#: Known texts up to this many are joined by broadcast; a larger table by a shuffle.
+BROADCAST_ROWS = 20_000
+
+
 def canonical_lines(text: Column) -> Column:
     """The text's lines in canonical form, copyright clauses and empty lines left out; what follows a clause on its line stays."""
-    own = F.transform(F.split(F.lower(text), "\n"), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSES, "")).otherwise(x))
-    plain = F.split(F.regexp_replace(F.array_join(own, "\n"), PUNCTUATION, " "), "\n")
+    lower = F.lower(text)
+    own = F.array_join(F.transform(F.split(lower, "\n"), lambda x: F.when(x.rlike(COPYRIGHT_LINE), F.regexp_replace(x, COPYRIGHT_CLAUSES, "")).otherwise(x)), "\n")
+    own = F.when(lower.rlike(r"copyright|\(c\)|©|all rights reserved"), own).otherwise(lower)
+    plain = F.regexp_replace(own, PUNCTUATION, " ")
     same = F.create_map(*[F.lit(w) for pair in SAME_WORDS.items() for w in pair])
+    words = F.array_join(F.transform(F.split(plain, "\n"), lambda x: F.array_join(F.transform(F.split(F.trim(x), " "), lambda w: F.coalesce(same[w], w)), " ")), "\n")
+    plain = F.when(plain.rlike(_ANY_SPELLING), words).otherwise(plain)
 
     def line(x: Column) -> Column:
-        out = F.array_join(F.transform(F.split(F.trim(x), " "), lambda w: F.coalesce(same[w], w)), " ")
+        out = F.trim(x)
         for phrase, other in SAME_PHRASES.items():
             out = F.replace(out, F.lit(phrase), F.lit(other))
         return out
-    return F.filter(F.transform(plain, line), lambda x: x != "")
+    return F.filter(F.transform(F.split(plain, "\n"), line), lambda x: x != "")
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -145,16 +150,20 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``doc_id``, ``text_digest``, ``licenses`` of the whole text and ``notices`` of single lines (sorted arrays)."""
     known = known_licenses(docs.sparkSession) if known is None else known
-    digests = (known.select("license", F.sha2(F.array_join(canonical_lines(F.coalesce("text", F.lit(""))), " "), 256).alias("digest"))
-               .filter(F.col("digest") != F.sha2(F.lit(""), 256))
-               .groupBy("digest").agg(F.array_sort(F.collect_set("license")).alias("found")))
+    texts = known.select("license", F.array_join(canonical_lines(F.coalesce("text", F.lit(""))), " ").alias("text")).filter(F.col("text") != "")
+    digests = stored(texts.groupBy(F.unhex(F.sha2("text", 256)).alias("digest"), F.length("text").alias("size")).agg(F.array_sort(F.collect_set("license")).alias("found")))
+    sizes = [r[0] for r in digests.select("size").distinct().collect()]  # lengths of known texts: fewer than their longest has characters
+    digests = digests.select("digest", "found")
+    if digests.count() <= BROADCAST_ROWS:
+        digests = F.broadcast(digests)
     mine = document_columns(docs, id_col, text_col).select("doc_id", canonical_lines(F.col("text")).alias("lines"))
-    mine = mine.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("text_digest"), F.transform("lines", lambda x: F.sha2(x, 256)).alias("line_digests"))
+    hashed = F.transform(F.array_distinct(F.filter("lines", lambda x: F.length(x).isin(sizes))), lambda x: F.unhex(F.sha2(x, 256)))
+    mine = stored(mine.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("text_digest"), hashed.alias("line_digests")))
     whole = mine.select("doc_id", "text_digest")
     lines = (mine.select("doc_id", "text_digest", F.explode("line_digests").alias("digest")).join(digests, "digest")
              .groupBy("doc_id", "text_digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("notices"))
              .select(F.col("doc_id").alias("line_doc"), F.col("text_digest").alias("line_text"), "notices"))
     none = F.array().cast("array<string>")
-    return (whole.join(digests.select(F.col("digest").alias("text_digest"), F.col("found").alias("licenses")), "text_digest", "left")
+    return (whole.withColumn("digest", F.unhex("text_digest")).join(digests.withColumnRenamed("found", "licenses"), "digest", "left")
             .join(lines, F.col("doc_id").eqNullSafe(F.col("line_doc")) & (F.col("text_digest") == F.col("line_text")), "left")
             .select("doc_id", "text_digest", F.coalesce("licenses", none).alias("licenses"), F.coalesce("notices", none).alias("notices")))

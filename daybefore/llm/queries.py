@@ -170,8 +170,8 @@ def _canonical_sql(text: str) -> str:
 
 
 OP9_SQL = f"""
-WITH known AS (SELECT * FROM (VALUES {', '.join(f'({_literal(k)}, {_literal(v)})' for k, v in licenses.KNOWN.items())}) v(license, text)),
-kd AS (SELECT sha256(array_to_string({_canonical_sql('text')}, ' ')) AS digest, string_agg(license, ',' ORDER BY license) AS found FROM known GROUP BY 1),
+WITH known AS (SELECT * FROM (VALUES {', '.join(f'({_literal(k)}, {_literal(v)})' for k, v in [*licenses.KNOWN.items(), *(t for t in licenses.known_texts() if t[0].endswith('-notice'))])}) v(license, text)),
+kd AS (SELECT sha256(array_to_string({_canonical_sql('text')}, ' ')) AS digest, string_agg(DISTINCT license, ',' ORDER BY license) AS found FROM known GROUP BY 1),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {_canonical_sql("coalesce(text, '')")} AS lines FROM documents),
 w AS (SELECT rid, doc_id, lines, sha256(array_to_string(lines, ' ')) AS text_digest FROM d),
 n AS (SELECT rid, string_agg(DISTINCT found, ',' ORDER BY found) AS notices FROM (SELECT rid, sha256(unnest(lines)) AS digest FROM w) JOIN kd USING (digest) GROUP BY rid)
