@@ -71,11 +71,15 @@ def estimate(bits: np.ndarray, scalars: np.ndarray, queries: np.ndarray, center:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    scale = np.abs(v).max(axis=1, keepdims=True)
-    v = v / scale
+    v = _scaled(v)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """Rows by the power of two that brings their largest component below 1: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def _matrix(blob: bytes, size: int, kind=np.float64) -> np.ndarray:
     return np.frombuffer(blob, dtype=kind).reshape(-1, size)
 
@@ -135,7 +139,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
             for r in batch.to_pylist():
                 ids, v = np.frombuffer(r["ids"], np.int64), _matrix(r["vectors"], size)
                 query_ids, q = np.frombuffer(r["query_ids"], np.int64), _matrix(r["query_vectors"], size)
-                units = _unit(q)
+                units, q = _unit(q), _scaled(q)
                 guess, bound = estimate(_matrix(r["bits"], width, np.uint8), _matrix(r["scalars"], 3), units, center, turn, epsilon)
                 own = query_ids[:, None] == ids[None, :]
                 low = _by_id(ids, np.where(own, -np.inf, guess - bound))
@@ -145,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
                 for j in range(len(query_ids)):
                     near = np.flatnonzero((guess[j] + bound[j] >= needed[j]) & ~own[j])
                     if len(near):
-                        w = v[near]
+                        w = _scaled(v[near])
                         score = (w @ q[j]) / (np.sqrt((w * w).sum(1)) * np.sqrt((q[j] * q[j]).sum()))
                         best = _best(ids[near], score, k)
                         out.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[near][best], "score": score[best]}))
