@@ -54,7 +54,7 @@ DOT_WORDS = "dot punkt point punto"
 
 _LOCAL = r"A-Za-z0-9._%+\-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(rf"[{_LOCAL}]*\Z")
+_LOCAL_CHARACTERS = "".join(c for c in map(chr, range(128)) if re.match(f"[{_LOCAL}]", c))
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _IP_HINT = re.compile(r"[0-9]\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -74,7 +74,7 @@ def _emails(text: str) -> list[tuple[int, int]]:
             start, step = at, 64
             while True:  # walk back over the local part, which holds no "@"
                 low = max(done, at - step)
-                start = low + _LOCAL_END.search(text[low:at]).start() if low < at else at
+                start = low + len(text[low:at].rstrip(_LOCAL_CHARACTERS))
                 if start > low or low == done:
                     break
                 step *= 2
@@ -145,8 +145,14 @@ def _characters() -> tuple[re.Pattern, dict[str, str]]:
             plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and "!" <= plain <= "~" and not "ª" <= c <= "º":
                 to[c] = plain
-    low = "".join(re.escape(c) for c in to if c < "\U00010000")  # few members beyond it keep the class fast
-    return re.compile(f"[{low}{chr(MATHEMATICAL[0])}-{chr(MATHEMATICAL[-1])}]"), to
+    far = ""  # digits beyond the basic plane stand in runs of ten; few members there keep the class fast
+    for code in range(0x10000, 0x110000):
+        digit = unicodedata.decimal(chr(code), None)
+        if digit is not None and code not in MATHEMATICAL:
+            to[chr(code)] = str(digit)
+            far += chr(code) + "-" if digit == 0 else chr(code) if digit == 9 else ""
+    low = "".join(re.escape(c) for c in to if c < "\U00010000")
+    return re.compile(f"[{low}{far}{chr(MATHEMATICAL[0])}-{chr(MATHEMATICAL[-1])}]"), to
 
 
 def _any(words: str) -> str:
@@ -159,7 +165,7 @@ _UNIT = rf"(?:(?:double|triple)[ \t-]+)?(?:{_DIGIT})"
 _SPELLED = re.compile(rf"(?<![^\W_])(?:{_UNIT})(?:(?:[ \t]*[,-][ \t]*|[ \t]+)(?:{_UNIT}))*(?![^\W_])", re.I)
 _ONE_UNIT = re.compile(rf"(?:(double|triple)[ \t-]+)?({_DIGIT})", re.I)
 _PLUS = re.compile(r"(?<![^\W_])plus[ \t]+(?=\(?[0-9])", re.I)
-_BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:({_any(AT_WORDS)}|@)|({_any(DOT_WORDS)}|\.))[ \t]*[\])}}>][ \t]*", re.I)
+_BRACKETED = re.compile(rf"(?:(?<![ \t])[ \t]++)?[\[({{<][ \t]*(?:({_any(AT_WORDS)}|@)|({_any(DOT_WORDS)}|\.))[ \t]*[\])}}>][ \t]*", re.I)
 _DOTTED = re.compile(rf"(?<=[0-9])[ \t]+(?:{_any(DOT_WORDS)})[ \t]+(?=[0-9])", re.I)
 _LABEL = r"[A-Za-z0-9-]+"
 _WORD_DOT = rf"[ \t]+(?:{_any(DOT_WORDS)})[ \t]+"
