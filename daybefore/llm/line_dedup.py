@@ -9,8 +9,8 @@ with the smallest id that has it, and goes from all others.
 Documents receive the *keys* to drop, salted so that one very common line is spread over many tasks.
 
 Edge rows: null and empty texts have no lines and stay; blank lines are never dropped; a null
-site counts as no site; rows of the same id count as one document; rows without id never keep
-a boilerplate line.
+site counts as no site; rows of the same id count as one document; rows without id are documents of their own
+and never keep a boilerplate line.
 """
 
 from __future__ import annotations
@@ -52,16 +52,17 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     carry = carry or []
     mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        F.col(site_col).cast("string").alias("site"), *[F.col(c).alias(f"carry_{c}") for c in carry])
-    lines = (mine.select("doc_id", "site", F.explode(_lines(F.col("text"))).alias("line"))
-             .filter(F.trim("line", F.lit(" \t\r")) != "").select("doc_id", "site", line_key(F.col("line")).alias("key")))
+    mine = mine.withColumn("nameless", F.when(F.col("doc_id").isNull(), F.unhex(F.md5("text"))))  # tells rows without id apart
+    lines = (mine.select("doc_id", "nameless", "site", F.explode(_lines(F.col("text"))).alias("line"))
+             .filter(F.trim("line", F.lit(" \t\r")) != "").select("doc_id", "nameless", "site", line_key(F.col("line")).alias("key")))
     lines = stored(lines)
     wide = spread_lines(lines, min_sites)
     salted = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dropped = (lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "site"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
-               .filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-               .groupBy("doc_id").agg(F.collect_set("key").alias("drop")))  # at most the lines of a document
-    gone = dropped.withColumnRenamed("doc_id", "drop_id")
-    out = mine.join(gone, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left")
+    dropped = (lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "nameless", "site"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"])
+               .filter(F.col("doc_id").isNull() | ~F.col("doc_id").eqNullSafe(F.col("keeper")))
+               .groupBy("doc_id", "nameless").agg(F.collect_set("key").alias("drop")))  # at most the lines of a document
+    gone = dropped.withColumnsRenamed({"doc_id": "drop_id", "nameless": "drop_row"})
+    out = mine.join(gone, F.col("doc_id").eqNullSafe(F.col("drop_id")) & F.col("nameless").eqNullSafe(F.col("drop_row")), "left")
     full = F.filter(_lines(F.col("text")), lambda x: F.trim(x, F.lit(" \t\r")) != "")
     hit = F.filter(_lines(F.col("text")), lambda x: (F.trim(x, F.lit(" \t\r")) != "") & F.array_contains(F.col("drop"), line_key(x)))
     kept = F.filter(_lines(F.col("text")), lambda x: (F.trim(x, F.lit(" \t\r")) == "") | ~F.array_contains(F.col("drop"), line_key(x)))

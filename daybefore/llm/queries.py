@@ -143,7 +143,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, string_split(coal
 l AS (SELECT rid, doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
 k AS (SELECT rid, doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
 wide AS (SELECT key, min(doc_id) AS keeper FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
-j AS (SELECT k.*, wide.key IS NOT NULL AND k.doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN wide ON k.key = wide.key),
+j AS (SELECT k.*, wide.key IS NOT NULL AND (k.doc_id IS NULL OR k.doc_id IS DISTINCT FROM keeper) AS gone FROM k LEFT JOIN wide ON k.key = wide.key),
 t AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) FILTER (key <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM j GROUP BY rid)
 SELECT doc_id, n_lines, n_removed, length(text) AS n_chars_left, sha256(text) AS text_sha256 FROM t
