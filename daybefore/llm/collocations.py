@@ -11,8 +11,10 @@ correction for a piece that ends there.  Everything else is derived from these s
   nodes are joined to one path by pointer doubling. All phrases inside a path have its weight, so
   the nodes within need no look-up, and none of them is a candidate: its edge is as frequent.
 
-The grams are summed per task before the shuffle, and shuffled by all their words, so a very
-frequent word pair is spread over its followers.  Flows below the threshold never leave the aggregation.
+The grams are summed per task and shuffled once, by their node, so that edges and flows are sums within a
+partition; the words at their front take a small second shuffle.  Nodes that are frequent in a bounded sample of
+texts are dealt over ``SALTS`` places by their followers, and their flows added up after; the sample decides on
+places only, never on results.  Flows below the threshold never leave the aggregation.
 
 Edge rows: null and empty texts have no words; a null language counts as ``und``; repeated rows
 count each time; ids and other columns are not read; an empty table gives an empty result.
@@ -20,57 +22,79 @@ count each time; ids and other columns are not read; an empty table gives an emp
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybefore.llm.common import SLICE, stored
+from daybefore.llm.common import stored
 
 #: Longest phrase, in words.
 ORDER = 3
 MIN_COUNT = 10
 TOP = 2000
-#: Grams a task sums before it hands them on.
-HELD = 400_000
+#: Bytes of text whose grams a task sums before it hands them on; a longer piece is summed whole.
+HELD = 16_000_000
+#: Rows sampled for frequent nodes, the share of words from which a node counts as frequent, and the places it is dealt over.
+SAMPLED, FREQUENT, SALTS = 2000, 1 / 2000, 64
 
-_PIECE = re.compile(r"[.,;:!?\x0A-\x0D]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: A-Z to a-z, the ends of pieces to line feeds, tabs to blanks.
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 10 if chr(b) in ".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
+_GRAMS = "node string, rest string, n int"
 
 
-def grams_of(text: str) -> Iterator[str]:
-    """One gram of up to three words for each word position, joined by blanks."""
-    for piece in _PIECE.split(text.translate(_LOWER).replace("\t", " ")):
-        words = piece.split(" ")
-        if "" in words:
-            words = [w for w in words if w]
-        yield from map(" ".join, zip(words, words[1:], words[2:]))
-        if words:
-            if len(words) > 1:
-                yield f"{words[-2]} {words[-1]}"
-            yield words[-1]
+def grams_of(text: bytes) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Different grams of a folded text with their counts, one gram for each word position.
+
+    A gram is its first two words joined by a blank (the node) and the third (the rest); words that its piece
+    lacks are empty, so that the node of a piece's last word ends in a blank.  Sorted by node.
+    """
+    pieces = pc.split_pattern(pa.array([text], pa.binary()).cast(pa.large_string()), "\n").flatten()
+    lists = pc.split_pattern(pieces, " ")
+    words, piece = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    real = pc.not_equal(words, "")
+    words, piece = words.filter(real).dictionary_encode(), piece[real.to_numpy(zero_copy_only=False)]
+    first = words.indices.to_numpy().astype(np.int64) + 1
+    size = len(words.dictionary) + 1
+    second, third = np.zeros_like(first), np.zeros_like(first)
+    same = piece[1:] == piece[:-1]
+    second[:-1] = np.where(same, first[1:], 0)
+    third[:-2] = np.where(piece[2:] == piece[:-2], first[2:], 0) if len(first) > 1 else 0
+    if size < 1 << 21:
+        keys, counts = np.unique((first * size + second) * size + third, return_counts=True)
+        first, second, third = keys // (size * size), keys // size % size, keys % size
+    else:
+        keys, counts = np.unique(np.stack([first, second, third], 1), axis=0, return_counts=True)
+        first, second, third = keys.T
+    names = pa.concat_arrays([pa.array([""], pa.large_string()), words.dictionary])
+    node = pc.binary_join_element_wise(names.take(pa.array(first)), names.take(pa.array(second)), pa.scalar(" ", pa.large_string()))
+    return node, names.take(pa.array(third)), counts
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
+    """Grams of (lang, text) rows with their counts; the node begins with the language and a line feed, which no word holds."""
+    held: dict[str, list[bytes]] = {}
+    size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
-        for lang, counts in held.items():
-            grams, numbers = list(counts), list(counts.values())
-            for at in range(0, len(grams), 65536):
-                part = pa.array(grams[at:at + 65536], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), part, pa.array(numbers[at:at + 65536], pa.int64())], ["lang", "gram", "n"])
+        for lang, texts in held.items():
+            node, rest, counts = grams_of(b"\n".join(texts))
+            node = pc.binary_join_element_wise(pa.scalar(lang, pa.large_string()), node, pa.scalar("\n", pa.large_string()))
+            for at in range(0, len(counts), 65536):
+                yield pa.RecordBatch.from_arrays([node.slice(at, 65536).cast(pa.string()), rest.slice(at, 65536).cast(pa.string()), pa.array(counts[at:at + 65536], pa.int32())],
+                                                 ["node", "rest", "n"])
         held.clear()
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            part = batch.slice(at, SLICE)
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                held.setdefault(lang, Counter()).update(grams_of(text))
-                if sum(map(len, held.values())) > HELD:
-                    yield from out()
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+            folded = text.as_buffer().to_pybytes().translate(_FOLD)
+            held.setdefault(lang, []).append(folded)
+            size += len(folded)
+            if size > HELD:
+                yield from out()
+                size = 0
     yield from out()
 
 
@@ -78,23 +102,46 @@ def _leading(gram: str, n: int) -> Column:
     return F.substring_index(gram, " ", n)
 
 
+def frequent_nodes(texts: DataFrame) -> list[str]:
+    """Nodes with at least ``FREQUENT`` of the words in a sample of about ``SAMPLED`` rows: fewer than 1 / ``FREQUENT``."""
+    rows = texts.count()
+    sample = texts.sample(min(1.0, SAMPLED / rows), seed=1) if rows else texts
+    nodes = sample.mapInArrow(_summed, _GRAMS).groupBy("node").agg(F.sum("n").alias("n"))
+    nodes = stored(nodes)
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    return [r[0] for r in nodes.filter(F.col("n") >= FREQUENT * total).select("node").collect()]
+
+
 def graph(docs: DataFrame, min_count: int = MIN_COUNT, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The frequent part of the graph: rows ``lang``, ``words`` (3 edge, 2 node, 1 word, 0 all), ``gram``, ``n``.
 
-    Edges come from the counted grams, the rest from sums over what begins alike.  Each kind reads the same shuffle.
+    Edges, flows and words read the same shuffle of the summed grams.
     """
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counted = texts.mapInArrow(_summed, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-    def flows(words: int) -> DataFrame:
-        return counted.groupBy("lang", _leading("gram", words).alias("gram")).agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    rows = [counted.filter(F.col("n") >= min_count), flows(2), flows(1), counted.groupBy("lang").agg(F.sum("n").alias("n")).withColumn("gram", F.lit(""))]
+    lang = F.url_encode(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")))  # without blanks and line feeds
+    texts = docs.select(lang.alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    often = frequent_nodes(texts)
+    grams = texts.mapInArrow(_summed, _GRAMS)
+    if often:  # a frequent node gets the number of one of its places as a third word
+        place = F.pmod(F.xxhash64("rest"), F.lit(SALTS)).cast("string")
+        grams = grams.withColumn("node", F.when(F.col("node").isin(often), F.concat_ws(" ", "node", place)).otherwise(F.col("node")))
+    grams = grams.repartition("node")
+    # ``sums`` counts the summands; as it needs ``rest``, all three read the same columns and thus one shuffle
+    sums = [F.sum("n").alias("n"), F.count("rest").alias("sums")]
+    node = _leading("node", 2)
+    edges = grams.groupBy("node", "rest").agg(*sums).filter(F.col("n") >= min_count)
+    nodes = grams.groupBy("node").agg(*sums).filter((F.col("n") >= min_count) | (node != F.col("node")))
+    words = grams.groupBy(_leading("node", 1).alias("node")).agg(*sums)
     out = None
-    for r, level in zip(rows, (3, 2, 1, 0)):
-        part = r.select("lang", F.lit(level).alias("words"), "gram", "n")
+    for part, level, name in ((edges, 3, F.concat_ws(" ", node, "rest")), (nodes, 2, node), (words, 1, F.col("node"))):
+        part = part.select(F.lit(level).alias("words"), name.alias("gram"), "n", "sums")
         out = part if out is None else out.unionByName(part)
-    # grams shorter than their kind go only now: earlier, the filter would move below the shuffle and part the plans that share it
-    return stored(out).filter((F.col("words") < 2) | (F.size(F.split("gram", " ")) == F.col("words")))
+    out = stored(out)
+    out = out.withColumns({"lang": F.url_decode(F.substring_index("gram", "\n", 1)), "gram": F.substring_index("gram", "\n", -1)})
+    # grams shorter than their kind go only now, and the flows of nodes dealt over several places are added up
+    out = out.filter((F.col("words") < 2) | ((F.size(F.split(F.trim("gram"), " ")) == F.col("words")) & ~F.endswith("gram", F.lit(" "))))
+    whole = out.filter(F.col("words") == 1).groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("words"), F.lit("").alias("gram"), "n")
+    flows = out.groupBy("lang", "words", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    return stored(flows.unionByName(whole))
 
 
 def _edges(kept: DataFrame) -> DataFrame:

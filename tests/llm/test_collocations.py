@@ -46,7 +46,7 @@ def random_rows(seed):
     return rows
 
 
-EDGE = [(1, None, "en"), (2, "", None), (None, "a b c " * 50, "und"), (None, "a b c " * 50, None), (3, "x", "en"), (4, "w " * 30000, "en"), (5, ".;  \t!", "fr")]
+EDGE = [(1, None, "en"), (2, "", None), (None, "a b c " * 50, "und"), (None, "a b c " * 50, None), (3, "x", "en"), (4, "w " * 30000, "en"), (5, ".;  \t!", "fr"), (6, "a b " * 30, "en US\n+%"), (7, "a b " * 30, "")]
 
 
 @pytest.mark.parametrize("rows, least, top", [(random_rows(1), 10, 2000), (random_rows(2), 3, 40), (EDGE, 10, 2000), ([], 10, 5)], ids=["plain", "top", "edge", "empty"])
