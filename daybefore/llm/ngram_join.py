@@ -56,6 +56,8 @@ HEAVY, FREQUENT = 1 << 18, 24
 LIST_COST, LARGEST_BOUNDARY = 3, 24
 #: A list with more members than this is treated like that of a frequent shingle.
 LONG = 48
+#: Smallest shingles of a set's frequent lists that its rows carry.
+LOWEST = 8
 #: Numbers gathered by a task before it hands them on; characters whose words a task holds at once.
 FLUSH, CHARACTERS = 1 << 20, 1 << 21
 #: 64-bit words of a parity sketch; 64-bit words of the filter that tells which texts to fetch.
@@ -393,9 +395,13 @@ def large_links(docs: DataFrame, classes: DataFrame, boundary: int, known: DataF
                   .withColumn("component", F.coalesce("component", "sid")))
     unlike = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("shingle")
     rows = stored(rows.join(unlike, "shingle", "left_semi"))
-    # members carry their sketches, so that lists aren't written out as pairs
+    # members carry their sketches, so that lists aren't written out as pairs, and their smallest shingles: two sets that
+    # share one of these meet in the list of the smallest alone, not in every list that holds both
+    low = rows.groupBy("sid").agg(F.slice(F.array_sort(F.collect_set("shingle")), 1, LOWEST).alias("low"))  # of one prefix
+    rows = stored(rows.join(low, "sid"))
     x, y = rows.alias("x"), rows.alias("y")
-    pairs = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y"))
+    first = ~F.exists(F.array_intersect("x.low", "y.low"), lambda z: z < F.col("x.shingle"))
+    pairs = (x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & may_link("x", "y") & first)
              .select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
     return links.unionByName(verified(pairs, docs, classes))
 
