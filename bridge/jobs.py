@@ -363,9 +363,10 @@ def _(v):
 def _(v):
     cols = ["elo_diff", "home_sog", "away_sog", "diff_goal_diff"]
     ctx = v.context
-    feats = _cut(scans.with_scores(build_features(ctx, game_type=2), ctx.games))
+    last = v.games.agg(F.max("season")).first()[0]  # the last season is scored by a model of those before it
+    lo, hi = v.games.where(F.col("season") == last).agg(F.min("date"), F.max("date")).first()
+    feats = _cut(scans.with_scores(build_features(ctx, game_type=2), ctx.games).where(F.col("date") < F.lit(lo)))
     payload = ml.Payload(ml.fit_goals(ml.prepare(feats, cols), cols), cols, "goals")
-    lo, hi = v.games.agg(F.min("date"), F.max("date")).first()
     done = serve.score_dates(ctx, lo, hi, payload, v.odds, path=_store_path(v, "serving"))
     return done.daily
 

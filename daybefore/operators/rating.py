@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daybefore.operators.daystate import DAY
-from daybefore.session import cut_lineage
+from daybefore.session import written
 
 # Fixed values.
 START, K, HOME_BONUS = 1500.0, 5.0, 50.0
@@ -94,7 +94,7 @@ def solved(matches: DataFrame, id: str = "match_id", time: str = "match_date", g
     while True:
         for _ in range(passes):
             rows = rows.repartition(*g, "_team").sortWithinPartitions(*g, "_team", "_d", "_id").mapInArrow(fold, schema)
-        rows = cut_lineage(rows)
+        rows = written(rows)
         if (rows.agg(F.max("_move")).first()[0] or 0.0) <= SETTLED:
             return rows
 

@@ -23,7 +23,7 @@ _SIDE_STANDINGS = ["point_pctg", "win_pctg", "reg_win_pctg", "goal_diff", "l10_p
 _SIDE_ROLLING = ["goalie_sv_pctg", "goalie_gsax", "rest_days", "is_b2b", "pp_pctg", "faceoff_pctg", "sog", "hits",
                  "blocked_shots"]
 
-# Model inputs: per side, then differences, then strengths, then the rest.
+# Fixed values. Model inputs: per side, then differences, then strengths, then the rest.
 FEATURES = (
     [f"home_{c}" for c in _SIDE_STANDINGS + _SIDE_ROLLING]
     + [f"away_{c}" for c in _SIDE_STANDINGS + _SIDE_ROLLING]
@@ -34,6 +34,7 @@ FEATURES = (
     + ["home_home_win_pctg", "away_road_win_pctg", "diff_home_road_pctg",
        "h2h_home_win_pctg", "home_elo", "away_elo", "elo_diff"])
 
+# The lean inputs.
 LEAN = ["elo_diff", "diff_goal_diff", "diff_point_pctg", "diff_points", "diff_home_road_pctg", "h2h_home_win_pctg",
         "diff_goalie_sv_pctg", "diff_goalie_gsax", "diff_pp_pctg", "diff_faceoff_pctg", "diff_sog", "diff_xgf_pct",
         "diff_hdcf_pct", "diff_xgf_pct_5v5", "diff_hdcf_pct_5v5"]
@@ -45,7 +46,7 @@ EVENT_FEATURES = ["shot_distance", "shot_angle", "is_behind_net", "shot_type_cod
                   "is_sh", "is_en"]
 PLAYER_FEATURES = [f"rolling_{c}" for c in SKATER_STATS] + ["rolling_toi_sec", "is_home", "position_code"]
 
-# Neutral fills; any model input not named here fills with 0.5.
+# Fixed values. Neutral fills; any model input not named here fills with 0.5.
 _SIDE_FILLS = {"goalie_gsax": 0.0, "goalie_sv_pctg": 0.90, "rest_days": 2.0, "is_b2b": 0.0, "sog": 30.0,
                "hits": 20.0, "blocked_shots": 14.0, "pp_pctg": 0.20, "faceoff_pctg": 0.50, "goal_diff": 0.0,
                "l10_points": 0.0, "elo": 1500.0}

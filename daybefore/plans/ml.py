@@ -35,6 +35,7 @@ class Recipe:
     scale: bool = False
 
 
+# Fixed values in the recipes: trees, depths, step sizes, shares of rows, penalties.
 def _logistic(n: int) -> LogisticRegression:
     # an L2 penalty of 1 on the summed loss is 1/n on Spark's mean loss
     return LogisticRegression(maxIter=1000, regParam=1.0 / max(n, 1), featuresCol="features")
