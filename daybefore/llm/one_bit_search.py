@@ -137,7 +137,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
         width = (size + 7) // 8
         for batch in batches:
             for r in batch.to_pylist():
-                ids, v = np.frombuffer(r["ids"], np.int64), _matrix(r["vectors"], size)
+                ids, v = np.frombuffer(r["ids"], np.int64), _scaled(_matrix(r["vectors"], size))
                 query_ids, q = np.frombuffer(r["query_ids"], np.int64), _matrix(r["query_vectors"], size)
                 units, q = _unit(q), _scaled(q)
                 guess, bound = estimate(_matrix(r["bits"], width, np.uint8), _matrix(r["scalars"], 3), units, center, turn, epsilon)
@@ -149,7 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
                 for j in range(len(query_ids)):
                     near = np.flatnonzero((guess[j] + bound[j] >= needed[j]) & ~own[j])
                     if len(near):
-                        w = _scaled(v[near])
+                        w = v[near]
                         score = (w @ q[j]) / (np.sqrt((w * w).sum(1)) * np.sqrt((q[j] * q[j]).sum()))
                         best = _best(ids[near], score, k)
                         out.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[near][best], "score": score[best]}))
