@@ -135,11 +135,11 @@ def test_rating_of_many_matches_equals_the_row_fold(spark):
 
 @pytest.mark.parametrize("same_day", ["rows", "date"])
 def test_rating_in_pieces_equals_one_piece(spark, same_day):
-    """Long dense seasons, a season without name, a team without name, days longer than a piece."""
+    """Long dense seasons, a season without name, a team without name, matches without teams, days longer than a piece."""
     rng, rows = random.Random(5), []
     for n in range(4_000):
         h = rng.randrange(6)
-        rows.append((n, day(n // 900), None if n % 3 == 0 else n % 3, None if h == 5 else h, (h + 1 + rng.randrange(4)) % 5, rng.randrange(5), rng.randrange(5)))
+        rows.append((n, day(n // 900), None if n % 3 == 0 else n % 3, None if h == 5 else h, None if h == 5 and n % 2 else (h + 1 + rng.randrange(4)) % 5, rng.randrange(5), rng.randrange(5)))
     df = spark.createDataFrame(rows, "match_id long, match_date date, season long, home_id long, away_id long, home_score int, away_score int")
     whole = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in rating.elo(df, same_day=same_day).collect()}
     cut = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in rating.elo(df, same_day=same_day, window=150, passes=1).collect()}
