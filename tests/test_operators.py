@@ -147,6 +147,25 @@ def test_rating_in_pieces_equals_one_piece(spark, same_day):
     assert all(None not in whole[i] and cut[i] == pytest.approx(whole[i], abs=1e-9) for i in whole)
 
 
+def test_a_piece_is_folded_in_a_few_microseconds_a_match():
+    """Before, tuples by team and Arrow scalars took 8 to 10 microseconds a match where lists by team number take about 2."""
+    import time
+    import numpy as np
+    import pyarrow as pa
+    rng, n = np.random.default_rng(1), 200_000
+    h = rng.integers(0, 32, n)
+    part = pa.table({"_w": pa.array(np.zeros(n), pa.int32()), "season": np.full(n, 1995), "_d": np.sort(rng.integers(0, 360, n)), "_id": np.arange(n),
+                     "_h": h, "_a": (h + 1 + rng.integers(0, 31, n)) % 32, "_y": pa.array(rng.integers(0, 2, n), pa.int32())})
+    none = pa.table({c: pa.array([], pa.float64() if c in ("_rating", "_at", "_other") else pa.int64()) for c in ("_w", "season", "_team", *rating._STATE)})
+    key = (pa.scalar(0, pa.int32()), pa.scalar(1995))
+    begun = time.perf_counter()
+    ends, steps = (rating._fold(["season"], 5.0, 50.0, 1500.0, e)(key, part, none) for e in (True, False))
+    assert time.perf_counter() - begun < 2 * n * 4.5e-6
+    assert (ends.num_rows, steps.num_rows) == (32, n)
+    last = {t: r for h, a, x, y in zip(*(steps.column(c).to_pylist() for c in ("_h", "_a", "_home_after", "_away_after"))) for t, r in ((h, x), (a, y))}
+    assert dict(zip(ends.column("_team").to_pylist(), ends.column("_rating").to_pylist())) == last
+
+
 def test_head_to_head_counts_every_earlier_meeting(matches):
     rows, df = matches
     for r in pairs.head_to_head(df, df).collect():
