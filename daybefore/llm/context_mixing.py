@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ FOLLOWING, INPUTS = 32, 3
 #: Pseudo-count of zeros and ones; weights at the start and the curvature that holds them there.
 PRIOR, START, RIDGE = 0.4, 0.2, 50.0
 #: Distinct tokens counted before a task hands them on; rows and bytes of text worked on together; distinct tokens learned from together.
-COUNTED, TOGETHER, CHUNK, LEARNED = 400_000, 1024, 1 << 20, 50_000
+COUNTED, TOGETHER, CHUNK, LEARNED = 200_000, 1024, 1 << 18, 50_000
 #: Pieces in which tables are added up and sent.
 PIECES = 64
 
@@ -307,20 +308,23 @@ class Sequence:
         real = np.ones(len(h), bool)
         real[:2] = real[second] = False
         self.cuts = np.r_[0, np.cumsum(second - first)]
-        register = self._registers(raw, starts, ends, h)[real]
-        self.h, self.slots, self.register, self._starts, self._ends, self._end = h[real].view(np.int64), slots[:, real], register, starts[real], ends[real], end[real]
-        self.key = token_keys(self.h, register)
-
-    def _registers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Of each token the class of the last character beyond ASCII in the nearest such word before it in its text, by its highest; 0: none."""
-        beyond = np.cumsum(raw >> 7, dtype=np.int64)
-        at = np.flatnonzero(beyond[ends - 1] > beyond[starts - 1])
-        given = np.full(len(h), -1)
-        given[h == np.uint64(0x5851F42D4C957F2D)] = 0
-        _, where, which = np.unique(h[at], return_index=True, return_inverse=True)
-        given[at] = np.array([1 + ord(max(self._folded[starts[i]:ends[i]].decode())) % 61 for i in at[where].tolist()], np.int64)[which] if len(at) else 0
-        last = np.maximum.accumulate(np.where(given >= 0, np.arange(len(h)), 0))
-        return given[np.r_[0, last[:-1]]].astype(np.int32)
+        self.h, self.slots, self._starts, self._ends, self._end = h[real].view(np.int64), slots[:, real], starts[real], ends[real], end[real]
+
+    @cached_property
+    def register(self) -> np.ndarray:
+        """Of each token the class of the highest character of the nearest word beyond ASCII before it in its text; 0: none."""
+        beyond = np.cumsum(np.frombuffer(self._folded, np.uint8) >> 7, dtype=np.int32)
+        at = np.flatnonzero(beyond[self._ends - 1] > beyond[self._starts - 1])
+        given = np.full(len(self.h), -1, np.int32)
+        given[self._end] = 0
+        _, where, which = np.unique(self.h[at], return_index=True, return_inverse=True)
+        given[at] = np.array([1 + ord(max(w.decode())) % 61 for w in self.words(at[where])], np.int32)[which]
+        last = np.maximum.accumulate(np.where(given >= 0, np.arange(len(given)), -1))
+        return np.where(np.r_[-1, last[:-1]] >= 0, given[np.r_[0, last[:-1]]], 0).astype(np.int32)
+
+    @cached_property
+    def key(self) -> np.ndarray:
+        return token_keys(self.h, self.register)
 
     def words(self, at: np.ndarray) -> list[bytes]:
         return [END if end else self._folded[a:b] for a, b, end in zip(self._starts[at].tolist(), self._ends[at].tolist(), self._end[at].tolist())]
