@@ -71,3 +71,21 @@ def test_the_plan_stays_small(batch):
     """What is left to do once the shared tables are written: few shuffles, each source read at most twice."""
     plan = build_features(batch[0].context, game_type=2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 25
+
+
+def test_sides_stay_narrow_and_null_keys_have_no_team(spark, batch):
+    """Team values travel as one column; a side without team or date gets what follows from no values, as before."""
+    from daybefore.plans.features import TEAM, packed_sides, side_features
+    v = batch[0]
+    some = v.tg.select(F.concat_ws("-", "match_id", "is_home").alias(SPINE), F.col("label").alias("season"), F.col("match_date").alias("date"),
+                       F.col("match_id").alias("game_id"), "team_id", "is_home", F.lit(None).cast("long").alias("_override")).orderBy("match_id", "is_home").limit(6)
+    odd = some.withColumns({"team_id": F.when(F.substring(SPINE, -4, 4) == "true", F.col("team_id"))})
+    packed = packed_sides(v.context, odd)
+    assert len(packed.columns) <= 32 and TEAM in packed.columns
+    rows = {r[SPINE]: r for r in side_features(v.context, odd).collect()}
+    assert len(rows) == 6
+    for r in rows.values():
+        if r["team_id"] is None:
+            assert r["elo"] is None and r["as_of_date"] is None and r["team_off_strength"] is None and r["team_split_strength"] == 0.0
+        else:
+            assert r["elo"] is not None and r["team_off_strength"] is not None
