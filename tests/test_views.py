@@ -37,3 +37,12 @@ def test_grids_leave_python_without_a_row_each(spark):
     got = {r["k"]: r for r in scores.score_distribution(df, "h", "a", "s").collect()}
     assert len(got[1]["grid"]) == 121 and abs(sum(got[1]["grid"]) - 1) < 1e-12 and got[1]["most_likely_home"] in range(11)
     assert all(got[k][c] is None for k in (2, 3) for c in ("grid", "p_home_win", "p_tie", "expected_away", "most_likely_home"))
+
+
+def test_the_skater_log_writes_no_other_table(spark, monkeypatch):
+    """Queries on skaters alone don't compute the standings."""
+    from bridge import views
+    kept = []
+    monkeypatch.setattr(views, "written", lambda df: kept.append(df.columns) or df)
+    log = views.Views(spark, "/root/testdata/sf0.001").skater_log
+    assert len(kept) == 1 and "toi_sec" in kept[0] and "rolling_toi_sec" in log.columns
