@@ -5,6 +5,8 @@ import os
 
 import pytest
 
+from daybefore.plans import serve
+from daybefore.plans.ml import GoalsModel, Payload
 from daybefore.session import FREES, checkpoint_dir, scratch, settled, written
 from daybefore.sources import store
 
@@ -43,6 +45,29 @@ def test_last_row_of_a_key_wins_in_every_share(spark, tmp_path):
     assert sorted((r["k"] if r["k"] is not None else -1, r["v"]) for r in got.collect()) == [(-1, 2), *[(k, 3) for k in range(40)]]
 
 
+def test_scoring_leaves_its_rows_once(spark, tmp_path, monkeypatch):
+    """Of what scoring wrote on the way, the scored rows and the benchmark stay, as Parquet."""
+    day = datetime.date(2001, 1, 2)
+    games = spark.createDataFrame([(i, day, 20002001, 2, i % 3, (i + 1) % 3, 2, 1, "OFF") for i in range(6)],
+                                  "id long, date date, season long, game_type int, home_team_id long, away_team_id long, home_score int, away_score int, game_state string")
+
+    class Fixed(GoalsModel):
+        def distribution(self, df, max_goals=10):
+            names = ["p_final_home", "expected_home", "expected_away", "most_likely_home", "most_likely_away", "p_tie", "lambda_home", "lambda_away", "lambda3"]
+            return df.selectExpr("game_id", *[f"0.5D AS {n}" for n in names])
+
+    class Tables:
+        pass
+    Tables.games = games
+    monkeypatch.setattr(serve, "day_features", lambda ctx, g: written(g.selectExpr("id AS game_id", "1.0D AS x")))
+    odds = games.selectExpr("id AS game_id", "date", "'closing' AS snapshot_type", "id AS quote_id", "-110 AS home_moneyline", "100 AS away_moneyline")
+    before = _kept(spark)
+    done = serve.score_dates(Tables, day, day, Payload(Fixed(None, None, 0.0), ["x"], "goals"), odds, path=str(tmp_path / "s"))
+    left = _kept(spark) - before
+    assert len(left) == 2 and all(f.startswith("table-") for f in left)
+    assert done.written == (6, 6, 1) and done.daily.first()["n_games"] == 6
+
+
 def test_feature_store_leaves_only_the_store(spark, tmp_path, monkeypatch):
     from daybefore.plans import materialize
     day = datetime.date(2001, 1, 2)
