@@ -8,9 +8,10 @@ every inner product and a bound on its error that holds but with a tiny probabil
 exp(-EPSILON^2 / 2) per vector).  Only vectors whose upper bound reaches the k-th largest lower
 bound of different ids are reranked on the original vectors in double precision.
 
-The index covers every row and lives in chunks of bounded size; queries form blocks of bounded size,
-and each chunk meets each block once, so no task or driver holds all of either.  Each pair
-of blocks keeps its k best per query; one aggregation by query ends the search.
+The index covers every row and lives in chunks of bounded size; queries form blocks of bounded size.
+Both are written, and each chunk meets each block once where a task reads some of both: neither is copied
+through a shuffle or a broadcast, so no task or driver holds all of either.  A task keeps its k best per
+query; one aggregation by query ends the search.
 
 Edge rows: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, neither do rows without id; with fewer than k candidates all are
@@ -34,6 +35,10 @@ K = 5
 #: Width of the error bound in standard deviations.
 EPSILON = 3.0
 CHUNK_ROWS, BLOCK_ROWS = 8192, 512
+#: Bytes of vectors in a chunk at most, and of a row group of chunks.
+CHUNK_BYTES, GROUP_BYTES = 1 << 22, 1 << 24
+#: Rows found by a task before it drops those that aren't among the best.
+HELD_ROWS = 500_000
 SEED = 20240607
 
 
@@ -98,6 +103,12 @@ def _best(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return order[np.sort(first)[:k]]
 
 
+def _top(found: list[pd.DataFrame], k: int) -> list[pd.DataFrame]:
+    """The ``k`` best different ids of each query, as one frame."""
+    best = pd.concat(found).groupby(["query_id", "vec_id"], as_index=False)["score"].max().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+    return [best.groupby("query_id").head(k)]
+
+
 def _packed(rows: DataFrame, many: int, size: int) -> DataFrame:
     """Rows as (ids, vectors) blobs of at most ``many`` rows, within each task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,13 +139,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
             for ids, blob in zip(batch.column("ids").to_pylist(), batch.column("vectors").to_pylist()):
                 bits, scalars = encode(_unit(_matrix(blob, size)), center, turn)
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (ids, blob, bits.tobytes(), scalars.tobytes())], ["ids", "vectors", "bits", "scalars"])
-    chunks = stored(_packed(rows, CHUNK_ROWS, size).mapInArrow(index, "ids binary, vectors binary, bits binary, scalars binary")
-                    .withColumn("chunk", F.monotonically_increasing_id()))
-    slots = max(1, chunks.count())
-    blocks = _packed(asked.repartition(max(1, -(-asked.count() // BLOCK_ROWS))), BLOCK_ROWS, size)
+    # a row holds megabytes: row groups are closed by size from the first row on
+    narrow = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+    many = max(1, min(CHUNK_ROWS, CHUNK_BYTES // (8 * size)))
+    chunks = stored(_packed(rows, many, size).mapInArrow(index, "ids binary, vectors binary, bits binary, scalars binary"), **narrow)
+    blocks = stored(_packed(asked.repartition(max(1, -(-asked.count() // BLOCK_ROWS))), BLOCK_ROWS, size).toDF("query_ids", "query_vectors"), **narrow)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = (size + 7) // 8
+        width, out, held = (size + 7) // 8, [], 0
         for batch in batches:
             for r in batch.to_pylist():
                 ids, v = np.frombuffer(r["ids"], np.int64), _scaled(_matrix(r["vectors"], size))
@@ -145,19 +157,26 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, epsilon: float =
                 low = _by_id(ids, np.where(own, -np.inf, guess - bound))
                 at = low.shape[1] - min(k, low.shape[1])
                 needed = np.partition(low, at, axis=1)[:, at]
-                out = []
+                mine = []
                 for j in range(len(query_ids)):
                     near = np.flatnonzero((guess[j] + bound[j] >= needed[j]) & ~own[j])
                     if len(near):
                         w = v[near]
                         score = (w @ q[j]) / (np.sqrt((w * w).sum(1)) * np.sqrt((q[j] * q[j]).sum()))
                         best = _best(ids[near], score, k)
-                        out.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[near][best], "score": score[best]}))
-                if out:
-                    yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
-    # every block goes to every slot of chunks: query blocks are the smaller side to copy
-    sent = blocks.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    pairs = chunks.withColumn("slot", F.pmod(F.xxhash64("chunk"), F.lit(slots)).cast("int")).drop("chunk").join(sent, "slot").drop("slot")
+                        mine.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[near][best], "score": score[best]}))
+                if mine:
+                    out.append(pd.concat(mine))
+                    held += len(out[-1])
+                if held > HELD_ROWS:
+                    out = _top(out, k)
+                    if len(out[0]) > HELD_ROWS // 2:  # a task with many queries
+                        yield pa.RecordBatch.from_pandas(out[0], preserve_index=False)
+                        out = []
+                    held = sum(map(len, out))
+        if out:
+            yield pa.RecordBatch.from_pandas(_top(out, k)[0], preserve_index=False)
+    pairs = chunks.hint("shuffle_replicate_nl").crossJoin(blocks)
     found = pairs.mapInArrow(meet, result).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
